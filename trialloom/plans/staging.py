@@ -1,0 +1,30 @@
+"""Cutting lineage at a written table.
+
+A staged table lives in the shared folder that ``spark.checkpoint.dir`` names,
+so it survives the loss of executors. Only where nothing is configured (tests,
+one machine) a new temporary folder is used.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def staging_root(spark: SparkSession) -> str:
+    """The session's checkpoint folder; set to a new local folder if there is none."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = "file://" + tempfile.mkdtemp(prefix="trialloom-stage-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: computed once, with column pruning and known size."""
+    spark = df.sparkSession
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
