@@ -212,3 +212,118 @@ class GivenTables:
         }
         tables = {name: derived[name]() for name in also}
         return new_registry(self.spark).replace({"trial": self.trial(*trial_columns), **tables})
+
+    # --- inputs of the access batches ---------------------------------------------
+
+    def new_requests(self) -> DataFrame:
+        """A request per order; the orders of two customers share an e-mail address."""
+        customer = F.col("o_custkey")
+        return self.table("orders").select(
+            (F.col("o_orderkey") + 1).alias("position"),
+            F.when(F.col("o_orderpriority") == "5-LOW", F.lit("  "))
+            .otherwise(F.concat(F.lit("Customer "), customer.cast("string"))).alias("full_name"),
+            F.concat(F.lit("M"), F.floor(customer / 2).cast("string"), F.lit("@x.org")).alias("email"),
+            F.concat(F.lit(" u"), customer.cast("string"), F.lit(" ")).alias("requested_username"),
+            choose("o_orderstatus", {"F": "Registrant", "O": " reviewer"}, "admin", "string").alias("requested_role"),
+            F.lit(None).cast("string").alias("request_reason"),
+        )
+
+    def known_users(self) -> DataFrame:
+        return self.table("customer").filter(F.col("c_acctbal") < 0).select(
+            F.col("c_custkey").alias("id"),
+            F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("username"),
+            F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@y.org")).alias("email"),
+        )
+
+    def known_requests(self) -> DataFrame:
+        key = F.col("s_suppkey").cast("string")
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("id"),
+            F.lit("S").alias("full_name"),
+            F.concat(F.lit("m"), key, F.lit("@X.org")).alias("email"),
+            F.concat(F.lit("supplier"), key).alias("requested_username"),
+            F.lit("reviewer").alias("requested_role"),
+            F.lit("").alias("request_reason"),
+            F.when(F.col("s_acctbal") < 5000, F.lit("pending")).otherwise(F.lit("rejected")).alias("request_status"),
+            F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        )
+
+    def open_requests(self) -> DataFrame:
+        """A request per customer; two customers share an e-mail address."""
+        return self.table("customer").select(
+            F.col("c_custkey").alias("id"),
+            F.col("c_name").alias("full_name"),
+            F.concat(F.lit("m"), F.floor(F.col("c_custkey") / 2).cast("string"), F.lit("@x.org")).alias("email"),
+            F.lower("c_name").alias("requested_username"),
+            choose("c_mktsegment", {"BUILDING": "reviewer", "FURNITURE": "auditor"}, "registrant", "string").alias("requested_role"),
+            F.lit("").alias("request_reason"),
+            F.when(F.col("c_acctbal") < 0, F.lit("approved")).otherwise(F.lit("pending")).alias("request_status"),
+            F.lit(None).cast("long").alias("reviewed_by"),
+            F.lit(None).cast("timestamp_ntz").alias("reviewed_at"),
+            F.lit(None).cast("string").alias("review_comment"),
+            F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        )
+
+    def staff(self) -> DataFrame:
+        """A user per supplier; some are admins, some carry a customer's user name."""
+        rich = F.col("s_acctbal") > 5000
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("id"),
+            F.when(rich, F.replace("s_name", F.lit("Supplier"), F.lit("CUSTOMER"))).otherwise(F.col("s_name")).alias("username"),
+            F.col("s_name").alias("full_name"),
+            F.concat("s_name", F.lit("@y.org")).alias("email"),
+            F.when(F.col("s_nationkey") < 16, F.lit(4)).otherwise(F.lit(2)).cast("long").alias("role_id"),
+            F.when(F.col("s_acctbal") < 0, F.lit("pending")).otherwise(F.lit("active")).alias("user_status"),
+        )
+
+    def decisions(self) -> DataFrame:
+        """A decision per order on the request of its customer, by one of four users or nobody."""
+        return self.table("orders").select(
+            (F.col("o_orderkey") + 1).alias("position"),
+            F.col("o_custkey").alias("request_id"),
+            choose("o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "5-LOW": 4}).alias("admin_user_id"),
+            choose("o_orderstatus", {"F": "no", "O": ""}, None, "string").alias("review_comment"),
+        )
+
+    # --- registry documents ----------------------------------------------------------
+
+    def trial_elements(self) -> DataFrame:
+        """A ``trial`` element per order, in order of the order key, as XML text.
+
+        The orders of one customer are versions of one trial. Orders without
+        items have no trial id, and some break a length or a number rule.
+        """
+        key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+        main = F.struct(
+            F.when(F.col("items").isNotNull(), F.concat(F.lit("RBR-C"), F.col("o_custkey").cast("string"))).alias("trial_id"),
+            F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_registration"),
+            F.concat(F.lit(" "), "c_name", F.lit("  &  Co ")).alias("primary_sponsor"),
+            F.concat(F.lit("Order\t"), key).alias("public_title"),
+            F.date_format("first_ship", "yyyy-MM-dd").alias("date_enrolment"),
+            choose("o_orderstatus", {"F": "Actual", "O": "anticipated"}, "actual", "string").alias("type_enrolment"),
+            F.when(F.col("quantity") > 250, F.lit("99999999999")).otherwise(F.concat(F.lit("about "), F.col("quantity").cast("string"))).alias("target_size"),
+            choose("o_orderpriority", {"1-URGENT": "recruiting", "2-HIGH": "Not yet recruiting", "3-MEDIUM": "On hold"}, None, "string").alias("recruitment_status"),
+            choose("c_mktsegment", {"BUILDING": "Intervention", "MACHINERY": "expanded access"}, None, "string").alias("study_type"),
+            F.when(status == "F", F.lit("n/a, randomized, Double-Blind, 2 arms")).when(status == "O", F.lit("open label")).alias("study_design"),
+            choose("r_name", {"AFRICA": "N/A", "AMERICA": "Phase 1", "ASIA": "phase-1", "EUROPE": "Phase 9"}, None, "string").alias("phase"),
+            F.col("p_name").alias("hc_freetext"),
+        )
+        repeated = lambda name, *values: F.struct(F.array(*values).alias(name))
+        element = F.struct(
+            main.alias("main"),
+            F.struct(
+                F.array(
+                    F.struct(
+                        F.lit("public").alias("type"), F.col("c_name").alias("firstname"),
+                        F.when(F.col("c_mktsegment") == "FURNITURE", F.when(status == "P", F.lit("Brazil"))).alias("country1"),
+                    )
+                ).alias("contact")
+            ).alias("contacts"),
+            repeated("country2", F.lit("Brazil"), F.lit("BR"), F.col("r_name")).alias("countries"),
+            F.when(status != "P", F.struct(F.lit("18Y").alias("agemin"), F.lit("F").alias("gender"))).alias("criteria"),
+            repeated("prim_outcome", F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("primary_outcome"),
+            repeated("hc_keyword", F.col("p_type")).alias("health_condition_keyword"),
+        )
+        return self.orders("items", "part", "customer", "region").orderBy("o_orderkey").select(
+            F.to_xml(element, {"rowTag": "trial"}).alias("element")
+        )

@@ -401,4 +401,181 @@ def oracle_sql() -> dict[str, str]:
               WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'crossover' END AS intervention_design,
             CAST(day(o_orderdate) AS INTEGER) AS arms FROM orders""",
     }
-    return sql
+    return sql | later_oracles()
+
+
+# --- vocabularies, access batches, import ---------------------------------------------
+
+SPELLINGS = """
+spellings AS (
+  SELECT p_partkey + 1 AS position,
+    CASE WHEN p_size < 10 THEN 'Phase 1' WHEN p_size < 20 THEN 'phase-1' WHEN p_size < 30 THEN p_brand
+      WHEN p_size < 40 THEN lower(replace(p_brand, '#', '-')) ELSE 'n/a' END AS value,
+    CASE WHEN p_size < 20 THEN 'phase_1' WHEN p_size < 40 THEN lower(replace(p_brand, '#', '_')) ELSE 'na' END AS code
+  FROM part),
+fresh AS (
+  SELECT code, min(position) AS first_position FROM spellings
+  WHERE code <> 'na' AND value <> 'Phase 1' GROUP BY code),
+runs AS (
+  SELECT s.code, value, position,
+    lower(value) IS DISTINCT FROM lag(lower(value)) OVER (PARTITION BY s.code ORDER BY position) AS starts
+  FROM spellings s JOIN fresh f ON f.code = s.code AND position >= first_position),
+made AS (
+  SELECT CASE WHEN r.code = 'phase_1' THEN 3 ELSE 9 + f.first_position END AS id, r.code, arg_max(value, position) AS label
+  FROM runs r JOIN fresh f USING (code) WHERE starts GROUP BY r.code, f.first_position)"""
+
+TRIAGE = """
+asked AS (
+  SELECT o_orderkey + 1 AS position, o_custkey, 'm' || (o_custkey // 2) || '@x.org' AS email_key, o_orderstatus,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 'Full name is required'
+      WHEN o_orderstatus = 'P' THEN 'Requested role must be registrant or reviewer'
+      WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+        THEN 'There is already an application user with this username or email'
+      WHEN o_custkey // 2 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 5000)
+        THEN 'There is already a pending request with this username or email' END AS refusal
+  FROM orders),
+judged AS (
+  SELECT *, refusal IS NULL AND position = min(position) FILTER (WHERE refusal IS NULL) OVER (PARTITION BY email_key) AS won
+  FROM asked),
+answered AS (
+  SELECT *, CASE WHEN won THEN position + (SELECT max(s_suppkey) FROM supplier) END AS request_id FROM judged)"""
+
+DECISIONS = """
+admins AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 16 AND s_acctbal >= 0),
+decisions AS (
+  SELECT o_orderkey + 1 AS position, o_custkey AS request_id,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 4 END AS admin,
+    CASE o_orderstatus WHEN 'F' THEN 'no' ELSE '' END AS comment
+  FROM orders),
+checked AS (
+  SELECT d.*, c_name, 'm' || (c_custkey // 2) || '@x.org' AS email, c_mktsegment,
+    CASE WHEN admin IS NULL THEN 'Admin user ID is required'
+      WHEN admin NOT IN (FROM admins) THEN 'Only active admin users can %s requests'
+      WHEN c_acctbal < 0 THEN 'Pending request not found' END AS refusal
+  FROM decisions d JOIN customer ON c_custkey = request_id)"""
+APPROVALS = DECISIONS % "approve" + """,
+checked2 AS (
+  SELECT * REPLACE (coalesce(refusal, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'Requested role is not valid or inactive'
+      WHEN c_name IN (SELECT replace(s_name, 'Supplier', 'Customer') FROM supplier WHERE s_acctbal > 5000)
+        THEN 'User with same username or email already exists' END) AS refusal) FROM checked),
+judged AS (
+  SELECT *, refusal IS NULL AND position = min(position) FILTER (WHERE refusal IS NULL) OVER (PARTITION BY email) AS won,
+    position + (SELECT max(s_suppkey) FROM supplier) AS made_id
+  FROM checked2)"""
+REJECTIONS = DECISIONS % "reject" + """,
+judged AS (
+  SELECT *, refusal IS NULL AND position = min(position) FILTER (WHERE refusal IS NULL) OVER (PARTITION BY request_id) AS won
+  FROM checked)"""
+
+IMPORT = """
+given AS (
+  SELECT *, row_number() OVER (ORDER BY o_orderkey) AS position,
+    CASE WHEN items IS NOT NULL THEN 'RBR-C' || o_custkey END AS trial_id,
+    concat_ws('; ', CASE WHEN items IS NULL THEN 'no trial_id' END,
+      CASE WHEN c_mktsegment = 'FURNITURE' AND o_orderstatus = 'P' THEN 'contacts.country1 longer than 2' END,
+      CASE WHEN quantity > 250 THEN 'target_size out of range' END) AS reasons
+  FROM orders LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = part_key
+  LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN region ON r_regionkey = n_regionkey),
+good AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY position DESC) = 1 AS is_last,
+    min(position) OVER (PARTITION BY trial_id) AS id FROM given WHERE reasons = ''),
+final AS (SELECT * FROM good WHERE is_last)"""
+
+
+def with_import() -> str:
+    return with_ctes(TRIAL.strip().split("),\ntrial AS")[0] + ")", IMPORT)
+
+
+def later_oracles() -> dict[str, str]:
+    phase = vocabulary("phase")
+    dist = distribution("recruitment_status")
+    return {
+        "vocab_resolve": with_ctes(SPELLINGS) + """
+          SELECT position, CASE WHEN s.code = 'na' THEN 1 WHEN s.code = 'phase_1' THEN 3 ELSE 9 + first_position END AS id
+          FROM spellings s LEFT JOIN fresh USING (code)""",
+        "vocab_grown": with_ctes(phase, SPELLINGS) + """
+          SELECT CAST(id AS BIGINT) AS id, code, label, xml_value, sort_order, true AS is_active FROM v_phase
+          WHERE code NOT IN (SELECT code FROM made)
+          UNION ALL SELECT m.id, m.code, m.label, m.label, coalesce(v.sort_order, 999), true
+          FROM made m LEFT JOIN v_phase v USING (code)""",
+        "vocab_seed": with_ctes(vocabulary("recruitment_status")) + f"""
+          , present AS (
+            SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'withdrawn' ELSE {code('o_orderpriority')} END AS code,
+              max(o_orderpriority) AS label FROM orders GROUP BY 1)
+          SELECT CAST(length(code) AS BIGINT) AS id, code, label, label AS xml_value, 1 AS sort_order, true AS is_active FROM present
+          UNION ALL
+          SELECT (SELECT max(length(code)) FROM present) + row_number() OVER (ORDER BY sort_order), code, label, xml_value,
+            sort_order, true FROM v_recruitment_status WHERE code NOT IN (SELECT code FROM present)""",
+        "triage": with_ctes(TRIAGE) + """
+          SELECT position, won AS success, CAST(request_id AS VARCHAR) AS request_id,
+            CASE WHEN won THEN 'Access request created successfully' ELSE coalesce(refusal,
+              'There is already a pending request with this username or email') END AS message FROM answered""",
+        "triage_requests": with_ctes(TRIAGE) + """
+          SELECT s_suppkey AS id, 'S' AS full_name, 'm' || s_suppkey || '@X.org' AS email,
+            'supplier' || s_suppkey AS requested_username, 'reviewer' AS requested_role, '' AS request_reason,
+            CASE WHEN s_acctbal < 5000 THEN 'pending' ELSE 'rejected' END AS request_status, CAST(NULL AS VARCHAR) AS created_at
+          FROM supplier
+          UNION ALL SELECT request_id, 'Customer ' || o_custkey, 'M' || email_key[2:], 'u' || o_custkey,
+            CASE o_orderstatus WHEN 'F' THEN 'registrant' ELSE 'reviewer' END, '', 'pending', '2001-08-02 12:00:00'
+          FROM answered WHERE won""",
+        "approvals": with_ctes(APPROVALS) + """
+          SELECT position, won AS success, CASE WHEN won THEN CAST(made_id AS VARCHAR) END AS new_user_id,
+            CASE WHEN won THEN 'User request approved successfully' WHEN refusal IS NOT NULL THEN refusal
+              WHEN request_id IN (SELECT request_id FROM judged WHERE won) THEN 'Pending request not found'
+              ELSE 'User with same username or email already exists' END AS message FROM judged""",
+        "approved_users": with_ctes(APPROVALS) + """
+          SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN replace(s_name, 'Supplier', 'CUSTOMER') ELSE s_name END AS username,
+            s_name || '@y.org' AS email, CAST(CASE WHEN s_nationkey < 16 THEN 4 ELSE 2 END AS BIGINT) AS role_id,
+            CASE WHEN s_acctbal < 0 THEN 'pending' ELSE 'active' END AS user_status, CAST(NULL AS VARCHAR) AS approved_by
+          FROM supplier
+          UNION ALL SELECT made_id, lower(c_name), email, CASE c_mktsegment WHEN 'BUILDING' THEN 3 ELSE 2 END, 'active', CAST(admin AS VARCHAR)
+          FROM judged WHERE won""",
+        "rejections": with_ctes(REJECTIONS) + """
+          SELECT position, won AS success, CASE WHEN won THEN 'User request rejected successfully'
+            ELSE coalesce(refusal, 'Pending request not found') END AS message FROM judged""",
+        "rejected_requests": with_ctes(REJECTIONS) + """
+          SELECT c_custkey AS id, CASE WHEN won THEN 'rejected' WHEN c_acctbal < 0 THEN 'approved' ELSE 'pending' END AS request_status,
+            CAST(j.admin AS VARCHAR) AS reviewed_by, j.comment AS review_comment
+          FROM customer LEFT JOIN (SELECT * FROM judged WHERE won) j ON j.request_id = c_custkey""",
+        "role_check": """
+          SELECT c_custkey AS id, c_mktsegment IN ('BUILDING', 'FURNITURE') AS may_review, true AS may_enter FROM customer""",
+        "import_trials": with_import() + """
+          SELECT id, trial_id, 'published' AS status, strftime(o_orderdate, '%Y-%m-%d') AS date_registration,
+            CAST(first_ship AS VARCHAR) AS date_enrolment, c_name || ' & Co' AS primary_sponsor,
+            'Order ' || o_orderkey AS public_title, 'Order ' || o_orderkey AS scientific_title,
+            CAST(quantity AS INTEGER) AS target_size,
+            CASE o_orderstatus WHEN 'O' THEN 'anticipated=Anticipated' ELSE 'actual=Actual' END AS type_enrolment,
+            CASE o_orderpriority WHEN '1-URGENT' THEN 'recruiting=Recruiting' WHEN '2-HIGH' THEN 'not_yet_recruiting=Not yet recruiting'
+              WHEN '3-MEDIUM' THEN 'on_hold=On hold' ELSE 'unknown=Unknown' END AS recruitment_status,
+            CASE c_mktsegment WHEN 'BUILDING' THEN 'intervention=Intervention' WHEN 'MACHINERY' THEN 'expanded_access=Expanded access'
+              ELSE 'observational=Observational' END AS study_type,
+            CASE r_name WHEN 'AMERICA' THEN l WHEN 'ASIA' THEN l WHEN 'EUROPE' THEN 'phase_9=Phase 9' ELSE 'na=N/A' END AS phase,
+            p_name AS hc_freetext
+          FROM final, (SELECT 'phase_1=' || CASE arg_max(r_name, position) WHEN 'ASIA' THEN 'phase-1' ELSE 'Phase 1' END AS l
+                       FROM good WHERE r_name IN ('AMERICA', 'ASIA'))""",
+        "import_children": with_import() + """
+          SELECT 'trial_study_design' AS table_name, CASE o_orderstatus WHEN 'F' THEN 'n/a, randomized, Double-Blind, 2 arms/2'
+            WHEN 'O' THEN 'open label' ELSE 'unknown' END AS content, count(*) AS n FROM final GROUP BY 1, 2
+          UNION ALL SELECT 'trial_contact', 'public', count(*) FROM final
+          UNION ALL SELECT 'trial_country', unnest(list_distinct(['BR', r_name[:2]])) AS c, count(*) FROM final GROUP BY 1, 2
+          UNION ALL SELECT 'trial_criteria', '18/Y/female/Not informed', count(*) FROM final WHERE o_orderstatus <> 'P'
+          UNION ALL SELECT 'trial_health_condition_keyword', p_type, count(*) FROM final GROUP BY 1, 2
+          UNION ALL SELECT 'trial_outcome', unnest(['primary/1', 'primary/2']) AS o, count(*) FROM final GROUP BY 1, 2
+          UNION ALL SELECT 'trial_results', 'results', count(*) FROM final
+          UNION ALL SELECT 'trial_review', 'published', count(*) FROM good
+          UNION ALL SELECT 'trial_public_snapshot', CAST(is_last AS VARCHAR), count(*) FROM good GROUP BY 1, 2""",
+        "import_quarantine": with_import() + """
+          SELECT position, coalesce(trial_id, 'UNKNOWN_TRIAL_ID') AS trial_id, reasons FROM given WHERE reasons <> ''""",
+        "import_counts": with_import() + """
+          SELECT count(*) AS found, count(*) FILTER (WHERE reasons = '') AS imported,
+            count(*) FILTER (WHERE reasons <> '') AS failed FROM given""",
+        "delimited_report": f"""
+          SELECT concat_ws('|', recruitment_status_code, recruitment_status_label, total_trials, printf('%.2f', percentage)) AS line
+          FROM ({dist})""",
+        "snapshot_freshness": """
+          SELECT true AS exists, age < 24 * 3600 AS valid, CAST(newest AS VARCHAR) AS generated_at, age AS age_seconds,
+            round(age / 3600.0, 2)::DOUBLE AS age_hours, 24.0::DOUBLE AS max_age_hours
+          FROM (SELECT max(ts) AS newest, greatest(0, datesub('second', max(ts), TIMESTAMP '2024-02-01')) AS age FROM events)""",
+        "snapshot_retention": """
+          SELECT CAST(ts AS VARCHAR) AS generated_at, props AS document FROM events ORDER BY ts DESC LIMIT 5""",
+    }

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..operators import insights, lookups, reports, sponsor_condition, views
-from ..sources.registry import id_vocabulary, roles
+from ..operators import access, insights, lookups, reports, sponsor_condition, views, vocabulary
+from ..sinks import outputs, snapshots
+from ..sources.registry import id_vocabulary, new_registry, roles, seed_missing
+from ..staging import stage, staging_root
 from .given_tables import AS_OF, GivenTables
-from .staging import stage
+from .ingest import IngestOptions, IngestResult, ingest_trials
+from .insight_dataset import insight_document as build_document
+from .insight_dataset import insight_rows as build_rows
+from .insight_dataset import insight_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,3 +340,205 @@ def typed_designs(t: GivenTables) -> DataFrame:
     )
     df = parsing.with_study_design(t.table("orders").select("o_orderkey", written.alias("text")), F.col("text"))
     return df.select("o_orderkey", "design.*").withColumn("arms", F.col("arms").cast("int"))
+
+
+# --- vocabularies ------------------------------------------------------------------------
+
+
+def phase_spellings(t: GivenTables) -> DataFrame:
+    """A spelling per part: known ones, variants of known ones, new ones in two variants."""
+    size = F.col("p_size")
+    value = (
+        F.when(size < 10, F.lit("Phase 1"))
+        .when(size < 20, F.lit("phase-1"))
+        .when(size < 30, F.col("p_brand"))
+        .when(size < 40, F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
+        .otherwise(F.lit("n/a"))
+    )
+    events = t.table("part").select((F.col("p_partkey") + 1).alias("position"), value.alias("value"))
+    return stage(
+        vocabulary.match(events, F.col("value"), id_vocabulary(t.spark, "phase"), "matched_id"), "spellings"
+    )
+
+
+@query
+def vocab_resolve(t: GivenTables) -> DataFrame:
+    events = phase_spellings(t)
+    entries = stage(vocabulary.new_entries(events, id_vocabulary(t.spark, "phase")), "entries")
+    return vocabulary.resolve(events, entries).select("position", F.col("matched_id").alias("id"))
+
+
+@query
+def vocab_grown(t: GivenTables) -> DataFrame:
+    phases = id_vocabulary(t.spark, "phase")
+    return vocabulary.grown(phases, vocabulary.new_entries(phase_spellings(t), phases))
+
+
+@query
+def vocab_seed(t: GivenTables) -> DataFrame:
+    """A vocabulary of order priorities that already has one seeded code, seeded."""
+    current = t.table("orders").groupBy(
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("withdrawn")).otherwise(
+            parsing.normalize_code(F.col("o_orderpriority"))
+        ).alias("code")
+    ).agg(F.max("o_orderpriority").alias("label")).select(
+        F.length("code").cast("long").alias("id"), "code", "label", F.col("label").alias("xml_value"),
+        F.lit(1).alias("sort_order"), F.lit(True).alias("is_active"),
+    )
+    return seed_missing(current, id_vocabulary(t.spark, "recruitment_status"))
+
+
+# --- access batches --------------------------------------------------------------------------
+
+BATCH = dt.datetime(2001, 8, 2, 12)
+
+
+@query
+def triage(t: GivenTables) -> DataFrame:
+    outcomes = access.triage_requests(t.new_requests(), t.known_users(), t.known_requests(), BATCH)[0]
+    return as_text(outcomes, "request_id")
+
+
+@query
+def triage_requests(t: GivenTables) -> DataFrame:
+    requests = access.triage_requests(t.new_requests(), t.known_users(), t.known_requests(), BATCH)[1]
+    return as_text(requests, "created_at")
+
+
+@query
+def approvals(t: GivenTables) -> DataFrame:
+    outcomes = access.apply_approvals(t.decisions(), t.open_requests(), t.staff(), roles(t.spark), BATCH)[0]
+    return as_text(outcomes, "new_user_id")
+
+
+@query
+def approved_users(t: GivenTables) -> DataFrame:
+    users = access.apply_approvals(t.decisions(), t.open_requests(), t.staff(), roles(t.spark), BATCH)[1]
+    return as_text(users.select("id", "username", "email", "role_id", "user_status", "approved_by"), "approved_by")
+
+
+@query
+def rejections(t: GivenTables) -> DataFrame:
+    return access.apply_rejections(t.decisions(), t.open_requests(), t.staff(), roles(t.spark), BATCH)[0]
+
+
+@query
+def rejected_requests(t: GivenTables) -> DataFrame:
+    requests = access.apply_rejections(t.decisions(), t.open_requests(), t.staff(), roles(t.spark), BATCH)[1]
+    return as_text(requests.select("id", "request_status", "reviewed_by", "review_comment"), "reviewed_by")
+
+
+@query
+def role_check(t: GivenTables) -> DataFrame:
+    """May each user do what reviewers and what anybody may do?"""
+    users = t.users().join(roles(t.spark).select(F.col("id").alias("role_id"), "role_code"), "role_id", "left")
+    return users.select(
+        "id",
+        access.role_allows(F.col("role_code"), F.lit("reviewer ")).alias("may_review"),
+        access.role_allows(F.col("role_code"), F.lit("")).alias("may_enter"),
+    )
+
+
+# --- import ------------------------------------------------------------------------------------
+
+_imports: dict[tuple[str, str], IngestResult] = {}
+
+
+def imported(t: GivenTables) -> IngestResult:
+    """The import of the orders written as registry XML; run once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _imports:
+        path = f"{staging_root(t.spark)}/documents-{uuid.uuid4().hex}"
+        t.trial_elements().write.text(path)
+        options = IngestOptions("GIVEN", BATCH)
+        _imports[key] = ingest_trials(t.spark, path, new_registry(t.spark), options)
+    return _imports[key]
+
+
+@query
+def import_trials(t: GivenTables) -> DataFrame:
+    registry = imported(t).registry
+    df = registry["trial"]
+    for name in ("type_enrolment", "recruitment_status", "study_type", "phase"):
+        entry = registry.vocabulary(name).select(F.col("id").alias(f"{name}_id"), F.concat_ws("=", "code", "label").alias(name))
+        df = df.join(entry, f"{name}_id", "left")
+    df = df.select(
+        "id", "trial_id", "status", "date_registration", "date_enrolment", "primary_sponsor", "public_title",
+        "scientific_title", "target_size", "type_enrolment", "recruitment_status", "study_type", "phase", "hc_freetext",
+    )
+    return as_text(df, "date_registration", "date_enrolment")
+
+
+@query
+def import_children(t: GivenTables) -> DataFrame:
+    """Rows per written table, and the texts that were generated or typed."""
+    registry = imported(t).registry
+    what = {
+        "trial_study_design": F.concat_ws("/", "generated_study_design", "number_of_arms"),
+        "trial_contact": F.col("contact_type"),
+        "trial_country": F.col("country_code"),
+        "trial_criteria": F.concat_ws("/", "age_min_value", "age_min_unit", "gender", "inclusion_criteria"),
+        "trial_health_condition_keyword": F.col("keyword"),
+        "trial_outcome": F.concat_ws("/", "outcome_type", "sort_order"),
+        "trial_results": F.lit("results"),
+        "trial_review": F.col("review_status"),
+        "trial_public_snapshot": F.col("is_current").cast("string"),
+    }
+    parts = [
+        registry[name].groupBy(F.lit(name).alias("table_name"), column.alias("content")).agg(F.count(F.lit(1)).alias("n"))
+        for name, column in what.items()
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query
+def import_quarantine(t: GivenTables) -> DataFrame:
+    return imported(t).quarantine.select("position", "trial_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def import_counts(t: GivenTables) -> DataFrame:
+    return imported(t).counts
+
+
+# --- outputs ------------------------------------------------------------------------------------
+
+
+@query
+def delimited_report(t: GivenTables) -> DataFrame:
+    return outputs.delimited_lines(reports.trials_by_recruitment_status(t.registry("status", "recruitment_status_id")))
+
+
+def snapshot_table(t: GivenTables) -> DataFrame:
+    return t.table("events").select(F.col("ts").cast("timestamp_ntz").alias("generated_at"), F.col("props").alias("document"))
+
+
+@query
+def snapshot_freshness(t: GivenTables) -> DataFrame:
+    return as_text(snapshots.freshness(snapshot_table(t), dt.datetime(2024, 2, 1)), "generated_at")
+
+
+@query
+def snapshot_retention(t: GivenTables) -> DataFrame:
+    return as_text(snapshots.newest(snapshot_table(t)), "generated_at")
+
+
+INSIGHT = tuple(dict.fromkeys((*CONDITIONS, *insights.QUALITY_FIELDS)))
+
+
+def insight_sections(t: GivenTables):
+    """The sections over one staged copy of the derived trial table."""
+    return insight_tables(new_registry(t.spark).replace({"trial": stage(t.trial(*INSIGHT), "trial")}), AS_OF)
+
+
+@query
+def insight_rows(t: GivenTables) -> DataFrame:
+    return build_rows(insight_sections(t))
+
+
+@query
+def insight_document(t: GivenTables) -> DataFrame:
+    return build_document(insight_sections(t), BATCH, "given", "public")
