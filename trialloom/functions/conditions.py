@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 
-SEPARATORS = r"[;|,]"
-TRAILING_MARKS = r"[.;:]+\z"
+SEPARATORS = " ?[;|,] ?"
+# White space that is not one plain space already.
+UNEVEN_SPACE = r"(?U)\s{2,}|[\s&&[^ ]]"
+TRAILING_MARKS = ".;:"
 NUMBERS_ONLY = r"^[0-9.\-\s]+\z"
 
 
 def _pieces(text: Column) -> Column:
-    return F.transform(
-        F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1),
-        lambda piece: F.trim(F.regexp_replace(piece, r"(?U)\s+", " ")),
-    )
+    """Lower-case terms without outer spaces; white space is squeezed once, before the split."""
+    even = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNEVEN_SPACE, " ")
+    return F.split(F.trim(even), SEPARATORS, -1)
 
 
 def loose_terms(text: Column) -> Column:
@@ -60,4 +61,4 @@ def strict_terms(text: Column, word_boundary: bool = False) -> Column:
         & ~t.rlike(NUMBERS_ONLY)
         & ~t.rlike(connective),
     )
-    return F.array_distinct(F.transform(terms, lambda t: F.trim(F.regexp_replace(t, TRAILING_MARKS, ""))))
+    return F.array_distinct(F.transform(terms, lambda t: F.trim(F.rtrim(t, F.lit(TRAILING_MARKS)))))
