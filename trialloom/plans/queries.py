@@ -104,7 +104,9 @@ def public_view(t: GivenTables) -> DataFrame:
     keys = t.table("orders").select(
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("RBR-"), key, F.lit(" "))).otherwise(key).alias("lookup_key")
     )
-    return lookups.public_trial_lookup(t.registry(also=("trial_study_design", "trial_contact")), keys)
+    # Looked up more than once, so stored first, as a registry's own trial table is.
+    registry = t.registry(also=("trial_study_design", "trial_contact"))
+    return lookups.public_trial_lookup(registry.replace({"trial": stage(registry["trial"], "trial")}), keys)
 
 
 @query
@@ -371,7 +373,7 @@ def vocab_resolve(t: GivenTables) -> DataFrame:
 @query
 def vocab_grown(t: GivenTables) -> DataFrame:
     phases = id_vocabulary(t.spark, "phase")
-    return vocabulary.grown(phases, vocabulary.new_entries(phase_spellings(t), phases))
+    return vocabulary.grown(phases, stage(vocabulary.new_entries(phase_spellings(t), phases), "entries"))
 
 
 @query

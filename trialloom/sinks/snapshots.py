@@ -6,7 +6,6 @@ A snapshot table has ``generated_at`` (timestamp without zone) and ``document``.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +15,9 @@ from .. import constants as C
 
 def freshness(snapshots: DataFrame, as_of: dt.datetime, max_age_hours: float = C.SNAPSHOT_MAX_AGE_HOURS) -> DataFrame:
     """One row: does a snapshot exist, how old is the newest, may it be reused."""
-    age = F.greatest(
-        F.lit(0),
-        F.timestamp_diff("SECOND", F.col("generated_at"), F.lit(as_of).cast("timestamp_ntz")),
-    )
+    # NULL without snapshots; ``greatest`` alone would turn that into an age of 0.
+    passed = F.timestamp_diff("SECOND", F.col("generated_at"), F.lit(as_of).cast("timestamp_ntz"))
+    age = F.when(F.col("generated_at").isNotNull(), F.greatest(F.lit(0), passed))
     return (
         snapshots.agg(F.max("generated_at").alias("generated_at"))
         .withColumn("age_seconds", age)
@@ -27,8 +25,8 @@ def freshness(snapshots: DataFrame, as_of: dt.datetime, max_age_hours: float = C
             F.col("generated_at").isNotNull().alias("exists"),
             F.coalesce(F.col("age_seconds") < max_age_hours * 3600, F.lit(False)).alias("valid"),
             "generated_at",
-            F.when(F.col("generated_at").isNotNull(), F.col("age_seconds")).alias("age_seconds"),
-            F.when(F.col("generated_at").isNotNull(), F.round(F.col("age_seconds") / 3600, 2)).alias("age_hours"),
+            "age_seconds",
+            F.round(F.col("age_seconds") / 3600, 2).alias("age_hours"),
             F.lit(float(max_age_hours)).alias("max_age_hours"),
         )
     )
@@ -39,18 +37,6 @@ def newest(snapshots: DataFrame, keep: int = C.SNAPSHOT_KEEP) -> DataFrame:
     return snapshots.orderBy(F.desc("generated_at")).limit(max(keep, 1))
 
 
-def reuse_or_add(
-    snapshots: DataFrame,
-    make: Callable[[], DataFrame],
-    as_of: dt.datetime,
-    max_age_hours: float = C.SNAPSHOT_MAX_AGE_HOURS,
-    force: bool = False,
-) -> tuple[DataFrame, bool]:
-    """(snapshots, was one made): the document is only built when the newest is too old or ``force`` is set.
-
-    ``make`` gives a one-row table with ``document``.
-    """
-    if not force and freshness(snapshots, as_of, max_age_hours).first()["valid"]:
-        return snapshots, False
-    made = make().select(F.lit(as_of).cast("timestamp_ntz").alias("generated_at"), "document")
-    return snapshots.select("generated_at", "document").unionByName(made), True
+def as_snapshot(document: DataFrame, generated_at: dt.datetime) -> DataFrame:
+    """A one-row table of ``document`` as a row of the snapshot table."""
+    return document.select(F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"), "document")

@@ -94,17 +94,17 @@ def seed_missing(current: DataFrame, seed: DataFrame) -> DataFrame:
     return current.unionByName(missing.select(*current.columns))
 
 
-def write_registry(registry: Registry, path: str) -> None:
-    """Write every table as parquet below ``path``, which must be new.
+def write_registry(registry: Registry, path: str, mode: str = "errorifexists") -> None:
+    """Write every table as parquet below ``path``, which must not hold the registry's own input.
 
     The trial table is partitioned by status: nearly every question asks for the
     public part only.
     """
     for name in S.TABLES:
-        writer = registry[name].write.mode("errorifexists")
+        writer = registry[name].write.mode(mode)
         (writer.partitionBy("status") if name == "trial" else writer).parquet(f"{path}/{name}")
     for name in (*S.ID_VOCABULARIES, *S.CODE_VOCABULARIES):
-        registry.vocabulary(name).write.mode("errorifexists").parquet(f"{path}/vocab_{name}")
+        registry.vocabulary(name).write.mode(mode).parquet(f"{path}/vocab_{name}")
 
 
 def read_registry(spark: SparkSession, path: str) -> Registry:
