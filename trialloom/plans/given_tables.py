@@ -10,11 +10,13 @@ has. Only the dimensions that the asked-for columns need are joined.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.registry import Registry, new_registry
+from ..sources.spread import spread
 
 AS_OF = dt.date(2001, 8, 2)
 
@@ -32,10 +34,8 @@ STUDY_TYPE = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 1, "MACHINERY": 2}
 PHASE = {"AFRICA": 1, "AMERICA": 9, "ASIA": 3, "EUROPE": 6}
 
 
-def _trial_columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
-    """Column -> (expression, tables needed besides orders)."""
-    key = F.col("o_orderkey").cast("string")
-    free_text = F.concat(
+def _free_text() -> Column:
+    return F.concat(
         "p_name",
         F.when(F.col("items") == 1, F.concat(F.lit("; "), F.upper("p_name"))).otherwise(""),
         F.lit(" | "), "p_brand", F.lit(", "), F.lower("p_type"), F.lit(" ;"),
@@ -43,35 +43,48 @@ def _trial_columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
         F.when(F.col("c_acctbal") < 0, F.lit("Oral  ")).otherwise(""), "c_mktsegment", F.lit(".;"),
         "r_name", F.lit("."),
     )
-    return {
-        "id": (F.col("o_orderkey"), ()),
-        "trial_id": (F.concat(F.lit("RBR-"), key), ()),
-        "utrn": (F.concat(F.lit("U"), F.col("o_custkey").cast("string")), ()),
-        "reg_name": (F.lit("GIVEN"), ()),
-        "status": (choose("o_orderstatus", STATUS, "under_review", "string"), ()),
-        "date_registration": (F.col("o_orderdate").cast("date"), ()),
-        "date_enrolment": (F.col("first_ship"), ("items",)),
-        "primary_sponsor": (F.when(F.col("c_acctbal") < 0, F.lit(" ")).otherwise(F.col("c_name")), ("customer",)),
-        "public_title": (
-            F.concat("p_name", F.lit(" | "), "p_type", F.lit("\n"), "o_orderpriority"), ("items", "part"),
-        ),
-        "acronym": (F.lit(None).cast("string"), ()),
-        "scientific_title": (F.concat(F.lit("Study of "), "p_name"), ("items", "part")),
-        "scientific_acronym": (F.lit(None).cast("string"), ()),
-        "type_enrolment_id": (choose("o_orderstatus", {"F": 2, "O": 1}), ()),
-        "target_size": (F.col("quantity").cast("int"), ("items",)),
-        "recruitment_status_id": (choose("o_orderpriority", RECRUITMENT), ()),
-        "study_type_id": (choose("c_mktsegment", STUDY_TYPE), ("customer",)),
-        "phase_id": (choose("r_name", PHASE), ("customer", "region")),
-        "hc_freetext": (free_text, ("items", "part", "customer", "region")),
-        "i_freetext": (F.lit(None).cast("string"), ()),
-        "url": (
-            F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(
-                F.concat(F.lit("https://example.org/trial/"), key)
-            ),
-            ("customer",),
+
+
+def _key() -> Column:
+    return F.col("o_orderkey").cast("string")
+
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
+# Column -> (expression, tables needed besides orders).
+TRIAL_COLUMNS: dict[str, tuple[Callable[[], Column], tuple[str, ...]]] = {
+    "id": (lambda: F.col("o_orderkey"), ()),
+    "trial_id": (lambda: F.concat(F.lit("RBR-"), _key()), ()),
+    "utrn": (lambda: F.concat(F.lit("U"), F.col("o_custkey").cast("string")), ()),
+    "reg_name": (lambda: F.lit("GIVEN"), ()),
+    "status": (lambda: choose("o_orderstatus", STATUS, "under_review", "string"), ()),
+    "date_registration": (lambda: F.col("o_orderdate").cast("date"), ()),
+    "date_enrolment": (lambda: F.col("first_ship"), ("items",)),
+    "primary_sponsor": (
+        lambda: F.when(F.col("c_acctbal") < 0, F.lit(" ")).otherwise(F.col("c_name")), ("customer",),
+    ),
+    "public_title": (
+        lambda: F.concat("p_name", F.lit(" | "), "p_type", F.lit("\n"), "o_orderpriority"), ("items", "part"),
+    ),
+    "acronym": (_no_text, ()),
+    "scientific_title": (lambda: F.concat(F.lit("Study of "), "p_name"), ("items", "part")),
+    "scientific_acronym": (_no_text, ()),
+    "type_enrolment_id": (lambda: choose("o_orderstatus", {"F": 2, "O": 1}), ()),
+    "target_size": (lambda: F.col("quantity").cast("int"), ("items",)),
+    "recruitment_status_id": (lambda: choose("o_orderpriority", RECRUITMENT), ()),
+    "study_type_id": (lambda: choose("c_mktsegment", STUDY_TYPE), ("customer",)),
+    "phase_id": (lambda: choose("r_name", PHASE), ("customer", "region")),
+    "hc_freetext": (_free_text, ("items", "part", "customer", "region")),
+    "i_freetext": (_no_text, ()),
+    "url": (
+        lambda: F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(
+            F.concat(F.lit("https://example.org/trial/"), _key())
         ),
-    }
+        ("customer",),
+    ),
+}
 
 
 class GivenTables:
@@ -94,7 +107,8 @@ class GivenTables:
         )
 
     def orders(self, *needs: str) -> DataFrame:
-        df = self.table("orders")
+        # Columns that need joins bring text work with them; plain counts are cheaper unshuffled.
+        df = spread(self.table("orders")) if "part" in needs else self.table("orders")
         if "items" in needs or "part" in needs:
             df = df.join(self.items(), "o_orderkey", "left")
         if "part" in needs:
@@ -110,10 +124,9 @@ class GivenTables:
 
     def trial(self, *columns: str) -> DataFrame:
         """The trial table with these columns (all of them by default)."""
-        known = _trial_columns()
-        columns = columns or tuple(known)
-        needs = {need for c in columns for need in known[c][1]}
-        return self.orders(*needs).select(*[known[c][0].alias(c) for c in columns])
+        columns = columns or tuple(TRIAL_COLUMNS)
+        needs = {need for c in columns for need in TRIAL_COLUMNS[c][1]}
+        return self.orders(*needs).select(*[TRIAL_COLUMNS[c][0]().alias(c) for c in columns])
 
     def study_design(self) -> DataFrame:
         return self.orders("items", "customer").select(

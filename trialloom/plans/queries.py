@@ -13,6 +13,7 @@ from ..functions import parsing, text
 from ..operators import access, insights, lookups, reports, sponsor_condition, views, vocabulary
 from ..sinks import outputs, snapshots
 from ..sources.registry import id_vocabulary, new_registry, roles, seed_missing
+from ..sources.spread import spread
 from ..staging import stage, staging_root
 from .given_tables import AS_OF, GivenTables
 from .ingest import IngestOptions, IngestResult, ingest_trials
@@ -279,7 +280,7 @@ def sc_burden(t: GivenTables) -> DataFrame:
 
 @query
 def clean_documents(t: GivenTables) -> DataFrame:
-    return t.table("documents").select("doc_id", text.clean(F.col("text")).alias("clean"))
+    return spread(t.table("documents")).select("doc_id", text.clean(F.col("text")).alias("clean"))
 
 
 @query
@@ -289,7 +290,7 @@ def delimited_documents(t: GivenTables) -> DataFrame:
 
 @query
 def codes(t: GivenTables) -> DataFrame:
-    return t.table("documents").select("doc_id", parsing.normalize_code(text.clean(F.col("text"))).alias("code"))
+    return spread(t.table("documents")).select("doc_id", parsing.normalize_code(text.clean(F.col("text"))).alias("code"))
 
 
 @query
@@ -365,15 +366,14 @@ def phase_spellings(t: GivenTables) -> DataFrame:
 
 @query
 def vocab_resolve(t: GivenTables) -> DataFrame:
-    events = phase_spellings(t)
-    entries = stage(vocabulary.new_entries(events, id_vocabulary(t.spark, "phase")), "entries")
-    return vocabulary.resolve(events, entries).select("position", F.col("matched_id").alias("id"))
+    uses, entries = vocabulary.settle(phase_spellings(t), id_vocabulary(t.spark, "phase"))
+    return vocabulary.resolve(uses, entries).select("position", F.col("matched_id").alias("id"))
 
 
 @query
 def vocab_grown(t: GivenTables) -> DataFrame:
     phases = id_vocabulary(t.spark, "phase")
-    return vocabulary.grown(phases, stage(vocabulary.new_entries(phase_spellings(t), phases), "entries"))
+    return vocabulary.grown(phases, vocabulary.settle(phase_spellings(t), phases)[1])
 
 
 @query

@@ -1,0 +1,16 @@
+"""Input parallelism."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that is stored in few files.
+
+    A file of one row group is read by one task, and with broadcast joins all
+    work on its rows stays in that task. A table of at least as many files as
+    cores is left as it is, so a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
