@@ -99,6 +99,8 @@ def test_outdated(registry):
         (1, "RBR-1", "published", "Recruiting", "2024-02-01", "2023-02-28", 12, "Possibly outdated", "Old one", "S1"),
     ]
     assert rows(reports.possibly_outdated_trials(registry, AS_OF, 0, 1), "id") == [(1,)]
+    assert rows(reports.possibly_outdated_trials(registry, AS_OF, after=(D(2021, 2, 28), 4)), "id") == [(1,)]
+    assert rows(reports.possibly_outdated_trials(registry, AS_OF, after=(D(2023, 2, 28), 1)), "id") == []
     assert rows(reports.possibly_outdated_count(registry, AS_OF)) == [(2,)]
 
 

@@ -118,16 +118,27 @@ def trials_by_status(registry: Registry) -> DataFrame:
 
 
 def possibly_outdated_trials(
-    registry: Registry, as_of: dt.date, limit: int | None = 50, offset: int | None = 0
+    registry: Registry,
+    as_of: dt.date,
+    limit: int | None = 50,
+    offset: int | None = 0,
+    after: tuple[dt.date, int] | None = None,
 ) -> DataFrame:
-    """Public trials still marked as (about to be) recruiting a year after enrolment began."""
+    """Public trials still marked as (about to be) recruiting a year after enrolment began.
+
+    ``after`` (enrolment date and id of the last row of the page before) goes on
+    from there without sorting the earlier pages again.
+    """
+    flagged = outdated_only(registry["trial"], registry.vocabulary("recruitment_status"), as_of)
+    if after is not None:
+        date, last_id = dates.day(after[0]), after[1]
+        enrolled = F.col("date_enrolment")
+        flagged = flagged.filter((enrolled > date) | ((enrolled == date) & (F.col("id") > last_id)))
     top = page(
-        outdated_only(registry["trial"], registry.vocabulary("recruitment_status"), as_of)
-        .select(
+        flagged.select(
             "id", "trial_id", "status", "active_label", "date_registration", "date_enrolment",
             "public_title", "primary_sponsor",
-        )
-        .orderBy("date_enrolment", "id"),
+        ).orderBy("date_enrolment", "id"),
         limit, offset, 50,
     )
     return top.select(
