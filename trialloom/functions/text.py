@@ -18,18 +18,24 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def clean(text: Column) -> Column:
-    """Normalise text from a document: line ends, blank runs, empty becomes NULL.
+def squeeze(text: Column) -> Column:
+    """Normalise text from a document: line ends, blank runs, white space at the ends.
 
     Byte replacements, and one pattern that matches only what has to change: two
     or more spaces become one, three or more line ends two.
     """
     for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
         text = F.replace(text, F.lit(old), F.lit(new))
-    text = F.regexp_replace(text, r"( ) +|(\n\n)\n+", "$1$2")
-    # NULL for an empty text, as a filtered one-element array: ``nullif`` would repeat the
-    # whole expression, once per nesting level where it is used inside a lambda.
-    return F.get(F.filter(F.array(strip(text)), lambda t: t != ""), 0)
+    return strip(F.regexp_replace(text, r"( ) +|(\n\n)\n+", "$1$2"))
+
+
+def clean(text: Column) -> Column:
+    """``squeeze``, and an empty text becomes NULL.
+
+    By way of a filtered one-element array: ``nullif`` would repeat the whole
+    expression, once per nesting level where it is used inside a lambda.
+    """
+    return F.get(F.filter(F.array(squeeze(text)), lambda t: t != ""), 0)
 
 
 def delimited_text(text: Column) -> Column:
