@@ -220,6 +220,56 @@ def quality_missing() -> str:
     return with_ctes(TRIAL) + " UNION ALL ".join(blank + null)
 
 
+# Section of the insight dataset -> (statement, fields of an item in order). Fields marked
+# with '%' are decimals with two digits.
+SECTIONS = {
+    "executive_dashboard": ("executive_dashboard", "total_trials public_trials published_trials approved_trials registered_this_year registered_this_month"),
+    "recruitment_freshness.possibly_outdated_total": ("freshness_total", "possibly_outdated_total"),
+    "recruitment_freshness.recruitment_status_distribution": ("freshness_status", "recruitment_status_label total"),
+    "recruitment_freshness.risk_bands": ("freshness_bands", "risk_band total"),
+    "recruitment_freshness.top_flagged_sponsors": ("freshness_sponsors", "sponsor possibly_outdated_trials"),
+    "recruitment_freshness.oldest_examples": (
+        "freshness_oldest", "id trial_id public_title primary_sponsor recruitment_status_label date_enrolment months_since_enrolment"),
+    "top_sponsors": (
+        "top_sponsors", "sponsor total_trials %percentage possibly_outdated_trials last_12_months_trials interventional_trials observational_trials"),
+    "top_health_conditions": (
+        "top_conditions", "condition_key condition_name total_trials possibly_outdated_trials last_12_months_trials"),
+    "study_profile.study_type_distribution": ("profile_type", "study_type total_trials"),
+    "study_profile.phase_distribution": ("profile_phase", "phase total_trials"),
+    "temporal_trends.trials_by_year": ("trend_year", "year total_trials"),
+    "temporal_trends.trials_last_24_months": ("trend_month", "month total_trials"),
+    "data_quality_governance.missing_fields": ("quality_missing", "field_name missing_count"),
+    "data_quality_governance.date_issues": (
+        "quality_dates", "enrolment_before_registration future_registration_date future_enrolment_date"),
+    "sponsor_health_condition_intelligence.top_conditions_used": ("sc_top_conditions", "condition_key condition_name total_trials"),
+    "sponsor_health_condition_intelligence.top_sponsor_condition_combinations": (
+        "sc_pairs", "sponsor condition_key condition_name total_trials possibly_outdated_trials last_12_months_trials"),
+    "sponsor_health_condition_intelligence.sponsor_top_conditions": (
+        "sc_by_sponsor", "sponsor condition_key condition_name total_trials possibly_outdated_trials rn"),
+    "sponsor_health_condition_intelligence.condition_top_sponsors": (
+        "sc_by_condition", "condition_key condition_name sponsor total_trials possibly_outdated_trials rn"),
+    "sponsor_health_condition_intelligence.condition_concentration": (
+        "sc_concentration", "condition_key condition_name total_trials unique_sponsors %avg_trials_per_sponsor"),
+    "sponsor_health_condition_intelligence.sponsor_outdated_burden": (
+        "sc_burden", "sponsor total_trials_in_top_conditions possibly_outdated_trials %possibly_outdated_percentage"),
+}
+
+
+def insight_items(sql: dict[str, str]) -> str:
+    """All sections as (section, item), the items as JSON text written field by field."""
+
+    def field(name: str) -> str:
+        if name.startswith("%"):
+            return f"""'"{name[1:]}":' || printf('%.2f', {name[1:]})"""
+        return f"""'"{name}":' || coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"""
+
+    parts = [
+        f"SELECT '{section}' AS section, '{{' || " + " || ',' || ".join(map(field, fields.split())) + f" || '}}' AS item FROM ({sql[name]})"
+        for section, (name, fields) in SECTIONS.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     recruitment = vocabulary("recruitment_status")
     flagged = with_ctes(recruitment, TRIAL, FLAGGED)
@@ -401,6 +451,7 @@ def oracle_sql() -> dict[str, str]:
               WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'crossover' END AS intervention_design,
             CAST(day(o_orderdate) AS INTEGER) AS arms FROM orders""",
     }
+    sql["insight_rows"] = insight_items(sql)
     return sql | later_oracles()
 
 
