@@ -1,25 +1,24 @@
 """Cutting lineage at a written table.
 
 A staged table lives in the shared folder that ``spark.checkpoint.dir`` names,
-so it survives the loss of executors. Only where nothing is configured (tests,
-one machine) a new temporary folder is used.
+so it survives the loss of executors. Where nothing is configured the session's
+warehouse folder is used, which every executor of a cluster reaches as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a new local folder if there is none."""
+    """The session's checkpoint folder; a folder of the warehouse where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="trialloom-stage-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
         spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    return configured.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
