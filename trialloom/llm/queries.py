@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import mixing
+from trialloom.llm import bpe, mixing, quality_rules, token_store
+from trialloom.llm.common import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -17,6 +19,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", F.col("served").cast("long").alias("served"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.new_folder(spark)
+    token_store.write_store(_table(spark, sf_dir, "documents"), folder)
+    read = token_store.read_store(spark, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    n = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return done.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.drop("class_distance", "word_distance")
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS key,
@@ -56,5 +76,75 @@ SELECT s.doc_id, s.size, t.source_size, t.target, s.size * coalesce(v.served, 0)
 FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN served v USING (doc_id)
 """
 
-QUERIES = {"op3_mixing": op3_mixing}
-ORACLES = {"op3_mixing": OP3_SQL}
+OP10_SQL = r"""
+WITH refs AS (
+  SELECT * FROM (VALUES
+    ('en', string_split('the of and to in a is that it for with as was on are this by be from or an at', ' ')),
+    ('de', string_split('der die und in den von zu das mit sich ist im ein nicht auf dem des eine für als auch es', ' ')),
+    ('fr', string_split('de la le et les des en un une que du est pour qui dans par au sur pas avec plus ne', ' ')),
+    ('es', string_split('de la que el en y los se del las un por con una para su al lo como más es no', ' '))) r(lang, common)),
+docs AS (
+  SELECT doc_id, d.lang, coalesce(text, '') AS text, coalesce(r.common, []) AS common,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents d LEFT JOIN refs r USING (lang)),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs))),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows, (VALUES (0), (1), (2)) s(k) WHERE n > 1 GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, lang, common, list_transform(w, lambda x: lower(x)) AS lw,
+         CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(list_aggregate(w, 'string_agg', '')) AS BIGINT) AS chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, len(regexp_extract_all(text, '[0-9]')) AS n_digit,
+         len(regexp_extract_all(text, '[.,;:!?''"()-]')) AS n_punct
+  FROM docs),
+base AS (
+  SELECT c.*, coalesce(chars, 0) AS word_chars, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+  FROM counted c LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id)),
+bins AS (
+  SELECT doc_id, lang, base_failed, 'class' AS kind, u.i, u.n
+  FROM (SELECT doc_id, lang, base_failed,
+          unnest([{'i': 0, 'n': n_upper}, {'i': 1, 'n': n_digit}, {'i': 2, 'n': n_symbols}, {'i': 3, 'n': n_punct},
+                  {'i': 4, 'n': greatest(word_chars - n_upper - n_digit - n_symbols - n_punct, 0)}]) AS u
+        FROM base)
+  UNION ALL
+  SELECT doc_id, lang, base_failed, 'word', k, len(list_filter(lw, lambda x: x = c))
+  FROM (SELECT doc_id, lang, base_failed, lw, unnest(common) AS c, generate_subscripts(common, 1) AS k FROM base)
+  UNION ALL
+  SELECT doc_id, lang, base_failed, 'word', 0, len(list_filter(lw, lambda x: NOT list_contains(common, x))) FROM base),
+shares AS (
+  SELECT b.doc_id, b.kind, b.n / sum(b.n) OVER (PARTITION BY b.doc_id, b.kind) AS p, r.n / r.total AS q
+  FROM bins b JOIN (
+    SELECT lang, kind, i, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, kind) AS total
+    FROM bins WHERE NOT base_failed GROUP BY lang, kind, i) r
+  ON b.lang IS NOT DISTINCT FROM r.lang AND b.kind = r.kind AND b.i = r.i),
+far AS (
+  SELECT doc_id, kind, sqrt(greatest(sum(
+    (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+     + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS distance
+  FROM shares WHERE p IS NOT NULL AND NOT isnan(p) GROUP BY doc_id, kind)
+SELECT b.doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed
+       AND NOT (n_words >= 50 AND coalesce(c.distance, 0) > 0.15 + 1.2 / sqrt(n_words))
+       AND NOT (n_words >= 100 AND coalesce(v.distance, 0) > 0.15 + 2.0 / sqrt(n_words)) AS kept
+FROM base b
+LEFT JOIN far c ON c.doc_id = b.doc_id AND c.kind = 'class'
+LEFT JOIN far v ON v.doc_id = b.doc_id AND v.kind = 'word'
+"""
+
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_token_store": op4_token_store,
+    "op9_bpe": op9_bpe,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES = {"op3_mixing": OP3_SQL, "op10_quality_rules": OP10_SQL}
