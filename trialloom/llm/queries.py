@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import bpe, mixing, quality_rules, token_store
+from trialloom.llm import bpe, mixing, ngram_join, quality_model, quality_rules, token_store, toxicity
 from trialloom.llm.common import ship
 
 
@@ -26,6 +26,19 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.assess(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
     n = (F.length("ids") / 4).cast("long").alias("n_tokens")
@@ -144,6 +157,9 @@ LEFT JOIN far v ON v.doc_id = b.doc_id AND v.kind = 'word'
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_store": op4_token_store,
+    "op6_quality_model": op6_quality_model,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
