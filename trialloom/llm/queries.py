@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import bpe, mixing, ngram_join, quality_model, quality_rules, token_store, toxicity
+from trialloom.llm import bpe, chat_format, mixing, nearest, ngram_join, pii, quality_model, quality_rules, token_store, toxicity
 from trialloom.llm.common import ship
+from trialloom.staging import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", F.col("served").cast("long").alias("served"))
@@ -26,6 +35,18 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: A conversation whose texts are control strings of the template.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    more = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = stage(chat_format.format_conversations(given.unionByName(more)), "chat-formatted")
+    return chat_format.digests(formatted)
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -155,8 +176,11 @@ LEFT JOIN far v ON v.doc_id = b.doc_id AND v.kind = 'word'
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_nearest": op2_nearest,
     "op3_mixing": op3_mixing,
     "op4_token_store": op4_token_store,
+    "op5_chat_format": op5_chat_format,
     "op6_quality_model": op6_quality_model,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
