@@ -240,7 +240,8 @@ def redact(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced; all else, and rows without spans, unchanged."""
     with_spans = detect(docs.select("doc_id", "text")).filter("spans <> ''").groupBy("doc_id", "base_sha256").agg(F.max("spans").alias("_spans"))
-    named = [c for c in docs.columns if c != "text"]
+    columns, schema = docs.columns, docs.schema
+    named = [c for c in columns if c != "text"]
 
     def run(batches):
         for batch in batches:
@@ -250,9 +251,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 own = hashlib.sha256(_joined(base_spans(text or "")).encode()).hexdigest() if given else None
                 spans = next((g["_spans"] for g in given or () if g["base_sha256"] == own), "")
                 texts.append(redact(text, spans) if spans else text)
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in columns], names=columns)
 
     given = with_spans.groupBy("doc_id").agg(F.collect_set(F.struct("base_sha256", "_spans")).alias("_given"))
     joined = docs.join(given.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*named, "text", "_given")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)
