@@ -1,6 +1,7 @@
 """Views, lookups, reports and insights on a small stored registry with hand-checked values."""
 
 import datetime as dt
+import glob
 import json
 
 import pytest
@@ -179,7 +180,7 @@ def test_sponsor_condition_by_hand(registry):
 
 def test_document_and_rows_hold_the_same_items(registry):
     tables = insight_tables(registry, AS_OF)
-    document = json.loads(insight_document(tables, dt.datetime(2024, 2, 29), "db", "sc").first().document)
+    document = json.loads("".join(r.line for r in insight_document(tables, dt.datetime(2024, 2, 29), "db", "sc").collect()))
     assert list(document) == [
         "metadata", "executive_dashboard", "recruitment_freshness", "top_sponsors", "top_health_conditions",
         "study_profile", "temporal_trends", "data_quality_governance", "sponsor_health_condition_intelligence",
@@ -198,12 +199,26 @@ def test_document_and_rows_hold_the_same_items(registry):
     assert "First Z" not in text and "e|x" not in text
 
 
-def test_document_size_is_checked(registry):
+def test_document_has_no_largest_size(registry, tmp_path):
     tables = dict(insight_tables(registry, AS_OF))
-    big = registry["trial"].sparkSession.range(20).withColumn("rn", F.lit(1))
-    tables["sponsor_health_condition_intelligence.sponsor_top_conditions"] = Section(big, ("id",), bounded=False)
-    with pytest.raises(ValueError, match="insight_rows"):
-        insight_document(tables, dt.datetime(2024, 2, 29), "db", "sc", max_rows=10)
+    spark = registry["trial"].sparkSession
+    path = "sponsor_health_condition_intelligence.sponsor_top_conditions"
+    tables[path] = Section(spark.range(250_000).repartition(7).withColumn("rn", F.lit(1)), ("id",))
+    out = str(tmp_path / "lines")
+    insight_document(tables, dt.datetime(2024, 2, 29), "db", "sc").select("line").write.text(out)
+    files = sorted(glob.glob(out + "/part-*"))
+    document = json.loads("".join(open(f, encoding="utf-8").read() for f in files))
+    found = document["sponsor_health_condition_intelligence"]["sponsor_top_conditions"]
+    assert [x["id"] for x in found] == list(range(250_000)) and len(files) > 1
+
+
+def test_registry_ids_that_differ_in_case_alone(registry, spark):
+    trial = registry["trial"]
+    again = trial.filter("id = 1").withColumns({"id": F.lit(99).cast("long"), "trial_id": F.lit("rbr-1")})
+    both = registry.replace({"trial": trial.unionByName(again)})
+    keys = spark.createDataFrame([("RBR-1",)], "lookup_key string")
+    assert rows(lookups.public_trial_lookup(both, keys), "id") == [(1,)]
+    assert rows(lookups.public_trial_by_registry_id(both, "RBR-1"), "id") == [(1,)]
 
 
 def test_delimited_output(registry, tmp_path):
@@ -224,9 +239,13 @@ def test_snapshots(spark, registry, tmp_path):
     assert jobs.run_insight(spark, registry, path, first + dt.timedelta(hours=24))
     assert jobs.run_insight(spark, registry, path, later, force=True)
     stored = jobs.stored_snapshots(spark, path)
-    assert stored.count() == 3
-    assert rows(snapshots.newest(stored, 1), "generated_at") == [(first + dt.timedelta(hours=24),)]
-    assert snapshots.newest(stored, 0).count() == 1
+    assert stored.select("generated_at").distinct().count() == 3
+    for keep in (1, 0):
+        assert set(rows(snapshots.newest(stored, keep), "generated_at")) == {(first + dt.timedelta(hours=24),)}
+    for day in range(2, 6):
+        assert jobs.run_insight(spark, registry, path, first + dt.timedelta(days=day))
+    times = jobs.stored_snapshots(spark, path).select("generated_at").distinct().count()
+    assert times == 5
 
 
 def plan(df):

@@ -16,7 +16,7 @@ from ..functions import dates
 from ..functions.conditions import loose_terms
 from ..functions.text import is_blank, sponsor_name, title_case
 from .rules import (
-    as_rows, is_public, outdated_only, percentage, public, row_count, with_outdated_flag,
+    as_rows, is_public, outdated_only, percentage, public, total_of, with_outdated_flag,
 )
 
 
@@ -104,18 +104,11 @@ def top_sponsors(
     study_type: DataFrame,
     as_of: dt.date,
     limit: int | None = C.TOP_SPONSORS,
-    population: DataFrame | None = None,
 ) -> DataFrame:
-    """Largest sponsors of public trials.
-
-    ``population`` is the trial table percentages refer to; pass it where
-    ``trial`` is a costly derivation and its row count is known to be that of a
-    cheaper table.
-    """
+    """Largest sponsors of public trials."""
     kind = F.lower("study_type")
     study_kind = study_type.select(F.col("id").alias("study_type_id"), F.col("xml_value").alias("study_type"))
-    total = row_count(public(trial if population is None else population))
-    ranked = (
+    grouped = (
         public(with_outdated_flag(trial, recruitment, as_of))
         .join(study_kind, "study_type_id", "left")
         .groupBy(sponsor_name(F.col("primary_sponsor")).alias("sponsor"))
@@ -126,13 +119,11 @@ def top_sponsors(
             F.count_if(kind == "intervention").alias("interventional_trials"),
             F.count_if(kind == "observational").alias("observational_trials"),
         )
-        .orderBy(F.desc("total_trials"), "sponsor")
-        .limit(max(C.TOP_SPONSORS if limit is None else limit, 1))
     )
+    ranked = grouped.orderBy(F.desc("total_trials"), "sponsor").limit(max(C.TOP_SPONSORS if limit is None else limit, 1))
     return ranked.select(
-        "sponsor", "total_trials", percentage(F.col("total_trials"), total).alias("percentage"),
-        F.col("possibly_outdated_trials").cast("int").alias("possibly_outdated_trials"),
-        "last_12_months_trials", "interventional_trials", "observational_trials",
+        "sponsor", "total_trials", percentage(F.col("total_trials"), total_of(grouped, "total_trials")).alias("percentage"),
+        "possibly_outdated_trials", "last_12_months_trials", "interventional_trials", "observational_trials",
     )
 
 
@@ -155,7 +146,7 @@ def top_health_conditions(
         terms.groupBy(F.col("term").alias("condition_key"))
         .agg(
             F.count_if("is_first").alias("total_trials"),
-            F.count_if("possibly_outdated").cast("int").alias("possibly_outdated_trials"),
+            F.count_if("possibly_outdated").alias("possibly_outdated_trials"),
             F.count_if(F.col("is_first") & recent).alias("last_12_months_trials"),
         )
         .orderBy(F.desc("total_trials"), "condition_key")

@@ -90,8 +90,11 @@ def public_trial_by_id(registry: Registry, trial_id: int) -> DataFrame:
 
 def public_trial_by_registry_id(registry: Registry, registry_id: str) -> DataFrame:
     wanted = registry_id.strip(" ").upper()
-    found = views.public_trials(registry).filter(F.upper("trial_id") == wanted).limit(1)
-    contacts = registry["trial_contact"].join(found.select(F.col("id").alias("trial_id")), "trial_id", "left_semi")
+    # Ids may differ in case alone: the lowest internal id is meant.
+    same = public(registry["trial"]).filter(F.upper("trial_id") == wanted)
+    first = same.agg(F.min("id").alias("id")).filter(F.col("id").isNotNull())
+    found = views.public_trials(registry).join(first, "id", "left_semi")
+    contacts = registry["trial_contact"].join(first.select(F.col("id").alias("trial_id")), "trial_id", "left_semi")
     return _details(found, contacts)
 
 
@@ -113,7 +116,7 @@ def public_trial_lookup(registry: Registry, keys: DataFrame, column: str = "look
         keys.filter(F.col("lookup_key").startswith(C.REGISTRY_ID_PREFIX))
         .withColumn("_wanted", F.upper(F.trim("lookup_key")))
         .join(
-            registry["trial"].select("id", F.upper("trial_id").alias("_wanted")),
+            public(registry["trial"]).groupBy(F.upper("trial_id").alias("_wanted")).agg(F.min("id").alias("id")),
             "_wanted",
         )
         .select("lookup_key", "id")

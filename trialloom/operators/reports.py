@@ -11,7 +11,7 @@ from .. import constants as C
 from ..functions import dates
 from ..functions.text import delimited_date, delimited_text
 from ..sources.registry import Registry
-from .rules import as_rows, is_public, outdated_only, page, percentage, public, row_count, with_outdated_flag
+from .rules import as_rows, is_public, outdated_only, page, percentage, public, total_of, with_outdated_flag
 
 # Codes and labels of the dashboard lines (fixed values), in report order.
 DASHBOARD_LINES = (
@@ -87,8 +87,8 @@ def dimension_distribution(trial: DataFrame, key: str, vocabulary: DataFrame, na
         .select(
             F.col("code").alias(f"{name}_code"),
             F.col("xml_value").alias(f"{name}_label"),
-            total.cast("int").alias("total_trials"),
-            percentage(total, row_count(public(trial))).alias("percentage"),
+            total.alias("total_trials"),
+            percentage(total, total_of(counts, "n")).alias("percentage"),
         )
     )
 
@@ -104,16 +104,9 @@ def trials_by_study_type(registry: Registry) -> DataFrame:
 
 
 def trials_by_status(registry: Registry) -> DataFrame:
-    trial = registry["trial"]
-    return (
-        trial.groupBy(F.col("status").alias("status_code"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "status_code")
-        .select(
-            "status_code",
-            F.col("n").cast("int").alias("total_trials"),
-            percentage(F.col("n"), row_count(trial)).alias("percentage"),
-        )
+    counts = registry["trial"].groupBy(F.col("status").alias("status_code")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "status_code").select(
+        "status_code", F.col("n").alias("total_trials"), percentage(F.col("n"), total_of(counts, "n")).alias("percentage")
     )
 
 
@@ -157,4 +150,4 @@ def possibly_outdated_trials(
 
 def possibly_outdated_count(registry: Registry, as_of: dt.date) -> DataFrame:
     flagged = outdated_only(registry["trial"], registry.vocabulary("recruitment_status"), as_of)
-    return flagged.agg(F.count(F.lit(1)).cast("int").alias("total_trials"))
+    return flagged.agg(F.count(F.lit(1)).alias("total_trials"))

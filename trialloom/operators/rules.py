@@ -19,9 +19,9 @@ def public(trial: DataFrame) -> DataFrame:
     return trial.filter(is_public())
 
 
-def row_count(df: DataFrame) -> Column:
-    """Row count as a scalar subquery: a literal for the outer plan, not a join."""
-    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+def total_of(counts: DataFrame, name: str) -> Column:
+    """Sum of group counts as a scalar subquery: the grouping's exchange is reused, the rows are not read again."""
+    return counts.agg(F.sum(name).alias("n")).scalar()
 
 
 def percentage(part: Column, total: Column) -> Column:

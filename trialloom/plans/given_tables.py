@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.registry import Registry, new_registry
-from ..sources.spread import spread
 
 AS_OF = dt.date(2001, 8, 2)
 
@@ -39,7 +38,7 @@ def _free_text() -> Column:
         "p_name",
         F.when(F.col("items") == 1, F.concat(F.lit("; "), F.upper("p_name"))).otherwise(""),
         F.lit(" | "), "p_brand", F.lit(", "), F.lower("p_type"), F.lit(" ;"),
-        F.substring("o_orderpriority", 3, 100), F.lit(","), F.col("p_size").cast("string"), F.lit(".50|"),
+        F.substr("o_orderpriority", F.lit(3)), F.lit(","), F.col("p_size").cast("string"), F.lit(".50|"),
         F.when(F.col("c_acctbal") < 0, F.lit("Oral  ")).otherwise(""), "c_mktsegment", F.lit(".;"),
         "r_name", F.lit("."),
     )
@@ -107,8 +106,7 @@ class GivenTables:
         )
 
     def orders(self, *needs: str) -> DataFrame:
-        # Columns that need joins bring text work with them; plain counts are cheaper unshuffled.
-        df = spread(self.table("orders")) if "part" in needs else self.table("orders")
+        df = self.table("orders")
         if "items" in needs or "part" in needs:
             df = df.join(self.items(), "o_orderkey", "left")
         if "part" in needs:
@@ -141,9 +139,9 @@ class GivenTables:
         )
 
     def contact(self) -> DataFrame:
-        number = (F.col("l_linenumber").cast("long") * 10**11 + F.col("l_partkey")) * 10**6 + F.col("l_suppkey")
+        # The id only orders the contacts of a trial: by line, part and supplier.
         return self.table("lineitem").select(
-            number.alias("id"),
+            F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             F.col("l_orderkey").alias("trial_id"),
             choose("l_returnflag", {"R": "scientific"}, "public", "string").alias("contact_type"),
             F.concat(F.lit("Line"), F.col("l_linenumber").cast("string")).alias("firstname"),

@@ -1,12 +1,12 @@
 """The insight dataset: all sections as tables, as JSON rows, or as one document.
 
-The one-document form is for registries whose sections fit in a row; its size is
-checked. The row form holds the same items for any size.
+The document is a table of lines in order, so it has no largest size either.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +26,9 @@ class Section:
     rows: DataFrame
     order: tuple[str, ...] = ()
     """Sort keys; a leading '-' means descending."""
-    bounded: bool = True
-    """False where the number of rows grows with the number of sponsors."""
 
 
-def insight_tables(registry: Registry, as_of: dt.date, population: DataFrame | None = None) -> dict[str, Section]:
+def insight_tables(registry: Registry, as_of: dt.date) -> dict[str, Section]:
     """Every section by its dotted path in the dataset."""
     trial = registry["trial"]
     recruitment, study_type = registry.vocabulary("recruitment_status"), registry.vocabulary("study_type")
@@ -54,7 +52,7 @@ def insight_tables(registry: Registry, as_of: dt.date, population: DataFrame | N
             insights.oldest_examples(trial, recruitment, as_of), ("-months_since_enrolment", "id")
         ),
         "top_sponsors": Section(
-            insights.top_sponsors(trial, recruitment, study_type, as_of, population=population),
+            insights.top_sponsors(trial, recruitment, study_type, as_of),
             ("-total_trials", "sponsor"),
         ),
         "top_health_conditions": Section(
@@ -75,7 +73,7 @@ def insight_tables(registry: Registry, as_of: dt.date, population: DataFrame | N
             sponsor_condition.top_pairs(focused), ("-total_trials", "sponsor", "condition_key")
         ),
         cross + "sponsor_top_conditions": Section(
-            sponsor_condition.sponsor_top_conditions(focused), ("sponsor", "rn"), bounded=False
+            sponsor_condition.sponsor_top_conditions(focused), ("sponsor", "rn")
         ),
         cross + "condition_top_sponsors": Section(
             sponsor_condition.condition_top_sponsors(focused), ("condition_name", "rn")
@@ -102,78 +100,77 @@ def insight_rows(tables: dict[str, Section]) -> DataFrame:
     return rows
 
 
-def _sort_key(name: str) -> Column:
-    return (-F.col(name[1:]) if name.startswith("-") else F.col(name)).alias(f"by_{name.strip('-')}")
-
-
-def _array(section: Section) -> Column:
-    entries = F.collect_list(F.struct(*map(_sort_key, section.order), F.struct(*section.rows.columns).alias("item")))
-    return section.rows.agg(F.transform(F.array_sort(entries), lambda e: e["item"]).alias("items")).scalar()
-
-
-def _value(section: Section) -> Column:
-    return section.rows.select(F.struct(*section.rows.columns).alias("value")).scalar()
-
-
-def insight_document(
-    tables: dict[str, Section],
-    generated_at: dt.datetime,
-    database: str,
-    schema: str,
-    max_rows: int = 200_000,
-) -> DataFrame:
-    """One row with the whole dataset as JSON in ``document``.
-
-    Sections are scalar subqueries of one projection, so no joins put them
-    together. Raises if a section that grows with the data has more than
-    ``max_rows`` rows: use ``insight_rows`` then.
+PLACE = "array<struct<number:double,text:string>>"
+
+
+def _place(section: Section) -> Column:
+    """Sort keys of an item as one value that orders items of any section."""
+    kinds = dict(section.rows.dtypes)
+
+    def key(name: str) -> Column:
+        column = F.col(name.removeprefix("-"))
+        is_text = kinds[name.removeprefix("-")] == "string"
+        number = F.lit(None).cast("double") if is_text else column.cast("double") * (-1 if name.startswith("-") else 1)
+        return F.struct(number.alias("number"), (column if is_text else F.lit(None).cast("string")).alias("text"))
+
+    return F.array(*map(key, section.order)).cast(PLACE)
+
+
+def _items(section: Section) -> DataFrame:
+    """(place, line): the JSON of each item, with a comma before all but the first in order."""
+    columns = section.rows.columns
+    if not section.order:
+        value = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+        text = F.coalesce(value.cast("string"), F.lit("null")) if len(columns) == 1 else json_text(value)
+        return section.rows.select(F.lit(None).cast(PLACE).alias("place"), text.alias("line"))
+    placed = section.rows.select(_place(section).alias("place"), json_text(F.struct(*columns)).alias("item"))
+    first = placed.agg(F.min("place").alias("place")).scalar()
+    comma = F.when(F.col("place") == first, "").otherwise(",")
+    return placed.select("place", F.concat(comma, "item").alias("line"))
+
+
+def _skeleton(paths: list[str], arrays: set[str], generated_at: dt.datetime, database: str, schema: str) -> list[str | None]:
+    """The fixed text of the document between the sections; None where a section's items stand."""
+    text = lambda value: json.dumps(value, ensure_ascii=False)
+    metadata = {
+        "generated_at": generated_at.isoformat(), "database": database, "schema": schema,
+        "dataset_scope": C.DATASET_SCOPE, "ai_usage_note": C.DATASET_NOTE,
+    }
+    strategy = {
+        "source": "trial.hc_freetext",
+        "minimum_total_trials_for_condition": C.MIN_TRIALS_PER_CONDITION,
+        "maximum_number_of_conditions": C.TOP_CONDITIONS,
+        "minimum_trials_for_sponsor_condition_pair": C.MIN_TRIALS_PER_PAIR,
+        "excluded_terms": list(C.SPONSOR_CONDITION_EXCLUDED),
+    }
+    before = {
+        "recruitment_freshness": f'"definition":{text(C.FRESHNESS_DEFINITION)},',
+        "sponsor_health_condition_intelligence": f'"description":{text(C.SPONSOR_CONDITION_DESCRIPTION)},"filtering_strategy":{text(strategy)},',
+    }
+    after = {"data_quality_governance": f',"interpretation_note":{text(C.QUALITY_NOTE)}'}
+    lines: list[str | None] = [f'{{"metadata":{text(metadata)}']
+    groups = [p.rpartition(".")[0] for p in paths]
+    for i, (path, group) in enumerate(zip(paths, groups, strict=True)):
+        opens = bool(group) and (i == 0 or groups[i - 1] != group)
+        closes = bool(group) and (i + 1 == len(paths) or groups[i + 1] != group)
+        lead = f',"{group}":{{{before.get(group, "")}' if opens else ","
+        lines += [f'{lead}"{path.rpartition(".")[2]}":{"[" if path in arrays else ""}', None]
+        lines.append(("]" if path in arrays else "") + (f"{after.get(group, '')}}}" if closes else ""))
+    return [*lines, "}"]
+
+
+def insight_document(tables: dict[str, Section], generated_at: dt.datetime, database: str, schema: str) -> DataFrame:
+    """(part, place, line): the whole dataset as one JSON document, a line for each item.
+
+    Lines are range-sorted by part and place, so the files of the result, read in
+    order, are the document. No section meets in one task, whatever its size.
     """
-    for path, section in tables.items():
-        if not section.bounded and section.rows.limit(max_rows + 1).count() > max_rows:
-            raise ValueError(f"section {path} has more than {max_rows} rows; write insight_rows instead")
     spark = next(iter(tables.values())).rows.sparkSession
-    words = lambda values: F.array(*map(F.lit, values))
-
-    def group(prefix: str, before: list[Column] = [], after: list[Column] = []) -> Column:
-        members = []
-        for path, section in tables.items():
-            if path.startswith(prefix + "."):
-                name = path.split(".")[1]
-                if section.order:
-                    members.append(_array(section).alias(name))
-                elif len(section.rows.columns) == 1 and section.rows.columns[0] == name:
-                    members.append(section.rows.scalar().alias(name))
-                else:
-                    members.append(_value(section).alias(name))
-        return F.struct(*before, *members, *after).alias(prefix)
-
-    dataset = F.struct(
-        F.struct(
-            F.lit(generated_at.isoformat()).alias("generated_at"),
-            F.lit(database).alias("database"),
-            F.lit(schema).alias("schema"),
-            F.lit(C.DATASET_SCOPE).alias("dataset_scope"),
-            F.lit(C.DATASET_NOTE).alias("ai_usage_note"),
-        ).alias("metadata"),
-        _value(tables["executive_dashboard"]).alias("executive_dashboard"),
-        group("recruitment_freshness", [F.lit(C.FRESHNESS_DEFINITION).alias("definition")]),
-        _array(tables["top_sponsors"]).alias("top_sponsors"),
-        _array(tables["top_health_conditions"]).alias("top_health_conditions"),
-        group("study_profile"),
-        group("temporal_trends"),
-        group("data_quality_governance", after=[F.lit(C.QUALITY_NOTE).alias("interpretation_note")]),
-        group(
-            "sponsor_health_condition_intelligence",
-            [
-                F.lit(C.SPONSOR_CONDITION_DESCRIPTION).alias("description"),
-                F.struct(
-                    F.lit("trial.hc_freetext").alias("source"),
-                    F.lit(C.MIN_TRIALS_PER_CONDITION).alias("minimum_total_trials_for_condition"),
-                    F.lit(C.TOP_CONDITIONS).alias("maximum_number_of_conditions"),
-                    F.lit(C.MIN_TRIALS_PER_PAIR).alias("minimum_trials_for_sponsor_condition_pair"),
-                    words(C.SPONSOR_CONDITION_EXCLUDED).alias("excluded_terms"),
-                ).alias("filtering_strategy"),
-            ],
-        ),
-    )
-    return spark.range(1).select(json_text(dataset).alias("document"))
+    paths = list(tables)
+    skeleton = _skeleton(paths, {p for p in paths if tables[p].order}, generated_at, database, schema)
+    fixed = [(part, line) for part, line in enumerate(skeleton) if line]
+    lines = spark.createDataFrame(fixed, "part int, line string").select("part", F.lit(None).cast(PLACE).alias("place"), "line")
+    at = [part for part, line in enumerate(skeleton) if line is None]
+    for part, path in zip(at, paths, strict=True):
+        lines = lines.unionByName(_items(tables[path]).select(F.lit(part).alias("part"), "place", "line"))
+    return lines.orderBy("part", "place")

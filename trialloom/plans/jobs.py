@@ -20,11 +20,17 @@ from .. import constants as C
 from ..operators import lookups, reports
 from ..sinks import outputs, snapshots
 from ..sources.registry import Registry, new_registry, read_registry, small_table, write_registry
+from ..staging import stage
 from .ingest import IngestOptions, ingest_trials
 from .insight_dataset import insight_document, insight_tables
 
 SNAPSHOT_SCHEMA = T.StructType(
-    [T.StructField("generated_at", T.TimestampNTZType()), T.StructField("document", T.StringType())]
+    [
+        T.StructField("generated_at", T.TimestampNTZType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("place", T.ArrayType(T.StructType([T.StructField("number", T.DoubleType()), T.StructField("text", T.StringType())]))),
+        T.StructField("line", T.StringType()),
+    ]
 )
 
 
@@ -64,13 +70,18 @@ def run_insight(
     spark: SparkSession, registry: Registry, path: str, now: dt.datetime,
     max_age_hours: float = C.SNAPSHOT_MAX_AGE_HOURS, force: bool = False, database: str = "", schema: str = "",
 ) -> bool:
-    """Append a new insight document unless the newest is fresh; True if one was made."""
+    """Store a new insight document unless the newest is fresh; True if one was made.
+
+    The newest documents are kept, older ones dropped.
+    """
     stored = stored_snapshots(spark, path)
     fresh = snapshots.freshness(stored, now, max_age_hours).first()["valid"]
     if fresh and not force:
         return False
     document = insight_document(insight_tables(registry, now.date()), now, database, schema)
-    snapshots.as_snapshot(document, now).write.mode("append").parquet(path)
+    # Staged before the stored documents, of which it holds copies, are replaced.
+    kept = stage(snapshots.newest(stored.unionByName(snapshots.as_snapshot(document, now))), "snapshots")
+    kept.write.mode("overwrite").parquet(path)
     return True
 
 

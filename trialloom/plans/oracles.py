@@ -6,6 +6,9 @@ percentages, distinct counts where the operators use none.
 
 from __future__ import annotations
 
+import json
+
+from .. import constants as C
 from ..schemas import CODE_VOCABULARIES, ID_VOCABULARIES
 
 TODAY = "DATE '2001-08-02'"
@@ -109,7 +112,7 @@ def with_ctes(*ctes: str) -> str:
 
 def distribution(name: str) -> str:
     return with_ctes(vocabulary(name), TRIAL) + f"""
-      SELECT v.code AS {name}_code, v.xml_value AS {name}_label, CAST(count(p.id) AS INTEGER) AS total_trials,
+      SELECT v.code AS {name}_code, v.xml_value AS {name}_label, count(p.id) AS total_trials,
         {half_up_percent('count(p.id)', '(SELECT count(*) FROM public)')} AS percentage
       FROM v_{name} v LEFT JOIN public p ON p.{name}_id = v.id GROUP BY v.code, v.xml_value"""
 
@@ -255,7 +258,7 @@ SECTIONS = {
 }
 
 
-def insight_items(sql: dict[str, str]) -> str:
+def insight_items(sql: dict[str, str], sections: dict | None = None) -> str:
     """All sections as (section, item), the items as JSON text written field by field."""
 
     def field(name: str) -> str:
@@ -265,11 +268,68 @@ def insight_items(sql: dict[str, str]) -> str:
 
     parts = [
         f"SELECT '{section}' AS section, '{{' || " + " || ',' || ".join(map(field, fields.split())) + f" || '}}' AS item FROM ({sql[name]})"
-        for section, (name, fields) in SECTIONS.items()
+        for section, (name, fields) in (sections or SECTIONS).items()
     ]
     return " UNION ALL ".join(parts)
 
 
+# Order of a section's items in the document; sections without one hold a single value.
+ORDERS = {
+    "recruitment_freshness.recruitment_status_distribution": "total DESC, recruitment_status_label",
+    "recruitment_freshness.risk_bands": "risk_band",
+    "recruitment_freshness.top_flagged_sponsors": "possibly_outdated_trials DESC, sponsor",
+    "recruitment_freshness.oldest_examples": "months_since_enrolment DESC, id",
+    "top_sponsors": "total_trials DESC, sponsor",
+    "top_health_conditions": "total_trials DESC, condition_key",
+    "study_profile.study_type_distribution": "total_trials DESC, study_type",
+    "study_profile.phase_distribution": "total_trials DESC, phase",
+    "temporal_trends.trials_by_year": "year",
+    "temporal_trends.trials_last_24_months": "month",
+    "data_quality_governance.missing_fields": "missing_count DESC, field_name",
+    "sponsor_health_condition_intelligence.top_conditions_used": "total_trials DESC, condition_key",
+    "sponsor_health_condition_intelligence.top_sponsor_condition_combinations": "total_trials DESC, sponsor, condition_key",
+    "sponsor_health_condition_intelligence.sponsor_top_conditions": "sponsor, rn",
+    "sponsor_health_condition_intelligence.condition_top_sponsors": "condition_name, rn",
+    "sponsor_health_condition_intelligence.condition_concentration": "total_trials DESC, condition_key",
+    "sponsor_health_condition_intelligence.sponsor_outdated_burden": "possibly_outdated_percentage DESC, possibly_outdated_trials DESC, sponsor",
+}
+
+
+def insight_lines(sql: dict[str, str]) -> str:
+    """The document's lines by part: the fixed texts stand at 0 and around the items at 2, 5, 8, ..."""
+    quoted = lambda value: json.dumps(value, ensure_ascii=False)
+    notes = {
+        "recruitment_freshness": f'"definition":{quoted(C.FRESHNESS_DEFINITION)},',
+        "sponsor_health_condition_intelligence": f'"description":{quoted(C.SPONSOR_CONDITION_DESCRIPTION)},"filtering_strategy":'
+        + quoted({"source": "trial.hc_freetext", "minimum_total_trials_for_condition": 20, "maximum_number_of_conditions": 30,
+                  "minimum_trials_for_sponsor_condition_pair": 3, "excluded_terms": list(C.SPONSOR_CONDITION_EXCLUDED)}) + ",",
+    }
+    metadata = {"generated_at": "2001-08-02T12:00:00", "database": "given", "schema": "public",
+                "dataset_scope": C.DATASET_SCOPE, "ai_usage_note": C.DATASET_NOTE}
+    fixed = {0: '{"metadata":' + quoted(metadata)}
+    parts, names = [], list(SECTIONS)
+    for i, path in enumerate(names):
+        group, _, name = path.rpartition(".")
+        is_first = group and not any(p.startswith(group + ".") for p in names[:i])
+        is_last = group and not any(p.startswith(group + ".") for p in names[i + 1 :])
+        array = path in ORDERS
+        fixed[3 * i + 1] = "," + (f'"{group}":{{{notes.get(group, "")}' if is_first else "") + f'"{name}":' + ("[" if array else "")
+        note = f',"interpretation_note":{quoted(C.QUALITY_NOTE)}' if group == "data_quality_governance" else ""
+        fixed[3 * i + 3] = ("]" if array else "") + (note + "}" if is_last else "")
+        one = {path: SECTIONS[path]}
+        if array:
+            numbered = f"SELECT *, row_number() OVER (ORDER BY {ORDERS[path]}) = 1 AS _first FROM ({sql[SECTIONS[path][0]]})"
+            item = insight_items({SECTIONS[path][0]: numbered}, one).replace(" AS item FROM", " AS item, _first FROM")
+            parts.append(f"SELECT {3 * i + 2} AS part, CASE WHEN _first THEN '' ELSE ',' END || item AS line FROM ({item})")
+        elif " " in SECTIONS[path][1]:
+            parts.append(f"SELECT {3 * i + 2} AS part, item AS line FROM ({insight_items(sql, one)})")
+        else:
+            parts.append(f"SELECT {3 * i + 2} AS part, CAST({SECTIONS[path][1]} AS VARCHAR) AS line FROM ({sql[SECTIONS[path][0]]})")
+    fixed[3 * len(names) + 1] = "}"
+    parts += [f"SELECT {part} AS part, {_literal(text)} AS line" for part, text in fixed.items() if text]
+    return "SELECT CAST(part AS INTEGER) AS part, line FROM (" + " UNION ALL ".join(parts) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     recruitment = vocabulary("recruitment_status")
     flagged = with_ctes(recruitment, TRIAL, FLAGGED)
@@ -279,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "by_recruitment": distribution("recruitment_status"),
         "by_study_type": distribution("study_type"),
         "by_status": with_ctes(TRIAL) + f"""
-          SELECT status AS status_code, CAST(count(*) AS INTEGER) AS total_trials,
+          SELECT status AS status_code, count(*) AS total_trials,
             {half_up_percent('count(*)', '(SELECT count(*) FROM trial)')} AS percentage FROM trial GROUP BY status""",
         "outdated_list": flagged + f"""
           SELECT id, {line('trial_id')}, {line('status')}, {line('recruitment_status_label', 'recruitment_status')},
@@ -287,7 +347,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(months_since_enrolment AS INTEGER) AS months_since_enrolment, 'Possibly outdated' AS flag,
             {line('public_title')}, {line('primary_sponsor')}
           FROM flagged ORDER BY date_enrolment, id LIMIT 50 OFFSET 25""",
-        "outdated_count": flagged + "SELECT CAST(count(*) AS INTEGER) AS total_trials FROM flagged",
+        "outdated_count": flagged + "SELECT count(*) AS total_trials FROM flagged",
         "public_trials": with_ctes(*VIEW_CTES) + """
           SELECT id, trial_id, status, CAST(date_registration AS VARCHAR) AS registration_date,
             CAST(date_enrolment AS VARCHAR) AS enrolment_date, public_title, scientific_title, recruitment_status,
@@ -383,14 +443,14 @@ def oracle_sql() -> dict[str, str]:
         "top_sponsors": with_ctes(TRIAL) + f"""
           SELECT coalesce(nullif(trim(primary_sponsor), ''), 'Unknown') AS sponsor, count(*) AS total_trials,
             {half_up_percent('count(*)', '(SELECT count(*) FROM public)')} AS percentage,
-            CAST(count(*) FILTER (WHERE recruitment_status_id IN (1, 2) AND {IS_OLD}) AS INTEGER) AS possibly_outdated_trials,
+            count(*) FILTER (WHERE recruitment_status_id IN (1, 2) AND {IS_OLD}) AS possibly_outdated_trials,
             count(*) FILTER (WHERE {IS_RECENT}) AS last_12_months_trials,
             count(*) FILTER (WHERE study_type_id = 1) AS interventional_trials,
             count(*) FILTER (WHERE study_type_id = 2) AS observational_trials
           FROM public GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""",
         "top_conditions": with_ctes(TRIAL, PIECES) + f"""
           SELECT lower(term) AS condition_key, {title_case('lower(term)')} AS condition_name,
-            count(DISTINCT id) AS total_trials, CAST(sum(outdated::INT) AS INTEGER) AS possibly_outdated_trials,
+            count(DISTINCT id) AS total_trials, CAST(sum(outdated::INT) AS BIGINT) AS possibly_outdated_trials,
             count(DISTINCT id) FILTER (WHERE {IS_RECENT}) AS last_12_months_trials
           FROM pieces WHERE length(term) >= 3 AND lower(term) NOT IN {LOOSE_STOP}
           GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 30""",
@@ -452,6 +512,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(day(o_orderdate) AS INTEGER) AS arms FROM orders""",
     }
     sql["insight_rows"] = insight_items(sql)
+    sql["insight_document"] = insight_lines(sql)
     return sql | later_oracles()
 
 
@@ -581,6 +642,10 @@ def later_oracles() -> dict[str, str]:
           FROM supplier
           UNION ALL SELECT made_id, lower(c_name), email, CASE c_mktsegment WHEN 'BUILDING' THEN 3 ELSE 2 END, 'active', CAST(admin AS VARCHAR)
           FROM judged WHERE won""",
+        "approved_requests": with_ctes(APPROVALS) + """
+          SELECT c_custkey AS id, CASE WHEN won THEN 'approved' WHEN c_acctbal < 0 THEN 'approved' ELSE 'pending' END AS request_status,
+            CAST(j.admin AS VARCHAR) AS reviewed_by, CASE WHEN won THEN 'Approved' END AS review_comment
+          FROM customer LEFT JOIN (SELECT * FROM judged WHERE won) j ON j.request_id = c_custkey""",
         "rejections": with_ctes(REJECTIONS) + """
           SELECT position, won AS success, CASE WHEN won THEN 'User request rejected successfully'
             ELSE coalesce(refusal, 'Pending request not found') END AS message FROM judged""",
@@ -628,5 +693,6 @@ def later_oracles() -> dict[str, str]:
             round(age / 3600.0, 2)::DOUBLE AS age_hours, 24.0::DOUBLE AS max_age_hours
           FROM (SELECT max(ts) AS newest, greatest(0, datesub('second', max(ts), TIMESTAMP '2024-02-01')) AS age FROM events)""",
         "snapshot_retention": """
-          SELECT CAST(ts AS VARCHAR) AS generated_at, props AS document FROM events ORDER BY ts DESC LIMIT 5""",
+          SELECT CAST(ts AS VARCHAR) AS generated_at, props AS document FROM events
+          WHERE ts IN (SELECT DISTINCT ts FROM events ORDER BY ts DESC LIMIT 5)""",
     }

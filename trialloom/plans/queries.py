@@ -13,7 +13,6 @@ from ..functions import parsing, text
 from ..operators import access, insights, lookups, reports, sponsor_condition, views, vocabulary
 from ..sinks import outputs, snapshots
 from ..sources.registry import id_vocabulary, new_registry, roles, seed_missing
-from ..sources.spread import spread
 from ..staging import stage, staging_root
 from .given_tables import AS_OF, GivenTables
 from .ingest import IngestOptions, IngestResult, ingest_trials
@@ -105,9 +104,8 @@ def public_view(t: GivenTables) -> DataFrame:
     keys = t.table("orders").select(
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("RBR-"), key, F.lit(" "))).otherwise(key).alias("lookup_key")
     )
-    # Looked up more than once, so stored first, as a registry's own trial table is.
     registry = t.registry(also=("trial_study_design", "trial_contact"))
-    return lookups.public_trial_lookup(registry.replace({"trial": stage(registry["trial"], "trial")}), keys)
+    return lookups.public_trial_lookup(registry, keys)
 
 
 @query
@@ -184,7 +182,7 @@ def freshness_oldest(t: GivenTables) -> DataFrame:
 def top_sponsors(t: GivenTables) -> DataFrame:
     df = insights.top_sponsors(
         t.trial(*OUTDATED, "primary_sponsor", "study_type_id"), recruitment(t),
-        id_vocabulary(t.spark, "study_type"), AS_OF, population=t.trial("status"),
+        id_vocabulary(t.spark, "study_type"), AS_OF,
     )
     return as_double(df, "percentage")
 
@@ -280,7 +278,7 @@ def sc_burden(t: GivenTables) -> DataFrame:
 
 @query
 def clean_documents(t: GivenTables) -> DataFrame:
-    return spread(t.table("documents")).select("doc_id", text.clean(F.col("text")).alias("clean"))
+    return t.table("documents").select("doc_id", text.clean(F.col("text")).alias("clean"))
 
 
 @query
@@ -290,7 +288,7 @@ def delimited_documents(t: GivenTables) -> DataFrame:
 
 @query
 def codes(t: GivenTables) -> DataFrame:
-    return spread(t.table("documents")).select("doc_id", parsing.normalize_code(text.clean(F.col("text"))).alias("code"))
+    return t.table("documents").select("doc_id", parsing.normalize_code(text.clean(F.col("text"))).alias("code"))
 
 
 @query
@@ -419,6 +417,12 @@ def approved_users(t: GivenTables) -> DataFrame:
     return as_text(users.select("id", "username", "email", "role_id", "user_status", "approved_by"), "approved_by")
 
 
+@query
+def approved_requests(t: GivenTables) -> DataFrame:
+    requests = access.apply_approvals(t.decisions(), t.open_requests(), t.staff(), roles(t.spark), BATCH)[2]
+    return as_text(requests.select("id", "request_status", "reviewed_by", "review_comment"), "reviewed_by")
+
+
 @query
 def rejections(t: GivenTables) -> DataFrame:
     return access.apply_rejections(t.decisions(), t.open_requests(), t.staff(), roles(t.spark), BATCH)[0]
@@ -443,18 +447,12 @@ def role_check(t: GivenTables) -> DataFrame:
 
 # --- import ------------------------------------------------------------------------------------
 
-_imports: dict[tuple[str, str], IngestResult] = {}
-
 
 def imported(t: GivenTables) -> IngestResult:
-    """The import of the orders written as registry XML; run once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _imports:
-        path = f"{staging_root(t.spark)}/documents-{uuid.uuid4().hex}"
-        t.trial_elements().write.text(path)
-        options = IngestOptions("GIVEN", BATCH)
-        _imports[key] = ingest_trials(t.spark, path, new_registry(t.spark), options)
-    return _imports[key]
+    """The import of the orders written as registry XML."""
+    path = f"{staging_root(t.spark)}/documents-{uuid.uuid4().hex}"
+    t.trial_elements().write.text(path)
+    return ingest_trials(t.spark, path, new_registry(t.spark), IngestOptions("GIVEN", BATCH))
 
 
 @query
@@ -543,4 +541,4 @@ def insight_rows(t: GivenTables) -> DataFrame:
 
 @query
 def insight_document(t: GivenTables) -> DataFrame:
-    return build_document(insight_sections(t), BATCH, "given", "public")
+    return build_document(insight_sections(t), BATCH, "given", "public").select("part", "line")

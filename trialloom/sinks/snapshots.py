@@ -1,6 +1,7 @@
 """Stored insight documents: is the newest still fresh, which ones to keep.
 
-A snapshot table has ``generated_at`` (timestamp without zone) and ``document``.
+A snapshot table has ``generated_at`` (timestamp without zone) and the lines of the
+documents; all lines of one time are one document.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ def freshness(snapshots: DataFrame, as_of: dt.datetime, max_age_hours: float = C
 
 
 def newest(snapshots: DataFrame, keep: int = C.SNAPSHOT_KEEP) -> DataFrame:
-    """The newest ``keep`` snapshots (at least the latest one)."""
-    return snapshots.orderBy(F.desc("generated_at")).limit(max(keep, 1))
+    """The newest ``keep`` snapshots (at least the latest one), with all their lines."""
+    times = snapshots.select("generated_at").distinct().orderBy(F.desc("generated_at")).limit(max(keep, 1))
+    return snapshots.join(times, "generated_at", "left_semi")
 
 
 def as_snapshot(document: DataFrame, generated_at: dt.datetime) -> DataFrame:
-    """A one-row table of ``document`` as a row of the snapshot table."""
-    return document.select(F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"), "document")
+    """The lines of ``document`` as rows of the snapshot table."""
+    return document.select(F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"), "part", "place", "line")
