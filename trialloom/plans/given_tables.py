@@ -298,8 +298,8 @@ class GivenTables:
 
     # --- registry documents ----------------------------------------------------------
 
-    def trial_elements(self) -> DataFrame:
-        """A ``trial`` element per order, in order of the order key, as XML text.
+    def trial_elements(self, statuses: tuple[str, ...] = ("F", "O", "P")) -> DataFrame:
+        """A ``trial`` element per order with one of these statuses, in order of the order key, as XML text.
 
         The orders of one customer are versions of one trial. Orders without
         items have no trial id, and some break a length or a number rule.
@@ -335,6 +335,7 @@ class GivenTables:
             repeated("prim_outcome", F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("primary_outcome"),
             repeated("hc_keyword", F.col("p_type")).alias("health_condition_keyword"),
         )
-        return self.orders("items", "part", "customer", "region").orderBy("o_orderkey").select(
+        chosen = self.orders("items", "part", "customer", "region").filter(status.isin(*statuses))
+        return chosen.orderBy("o_orderkey").select(
             F.to_xml(element, {"rowTag": "trial"}).alias("element")
         )

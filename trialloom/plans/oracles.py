@@ -685,6 +685,24 @@ def later_oracles() -> dict[str, str]:
         "import_counts": with_import() + """
           SELECT count(*) AS found, count(*) FILTER (WHERE reasons = '') AS imported,
             count(*) FILTER (WHERE reasons <> '') AS failed FROM given""",
+        "reimport_trials": with_import() + """
+          SELECT f.trial_id, 'published' AS status, 'Order ' || f.o_orderkey AS public_title,
+            strftime(f.o_orderdate, '%Y-%m-%d') AS date_registration, first AS created_at, '2001-08-02 12:00:00' AS updated_at,
+            first AS approved_at, '2001-08-02 12:00:00' AS published_at
+          FROM (SELECT *, CASE WHEN trial_id IN (SELECT trial_id FROM good WHERE o_orderstatus <> 'O')
+                  THEN '2001-07-01 08:00:00' ELSE '2001-08-02 12:00:00' END AS first FROM final) f""",
+        "reimport_children": with_import() + """
+          SELECT 'trial_country' AS table_name, trial_id AS registry_id, unnest(list_distinct(['BR', r_name[:2]])) AS content FROM final
+          UNION ALL SELECT 'trial_outcome', trial_id, 'primary/1/' || p_name FROM final
+          UNION ALL SELECT 'trial_outcome', trial_id, 'primary/2/' || p_brand FROM final""",
+        "reimport_reviews": with_import() + """
+          SELECT trial_id AS registry_id, 'published' AS review_status, '2001-08-02 12:00:00' AS created_at, count(*) AS n
+          FROM good GROUP BY trial_id
+          UNION ALL SELECT trial_id, 'approved', '2001-07-01 08:00:00', count(*) FROM good WHERE o_orderstatus <> 'O' GROUP BY trial_id""",
+        "reimport_snapshots": with_import() + """
+          SELECT trial_id AS public_trial_id, '2001-08-02 12:00:00' AS generated_at, is_last AS is_current, count(*) AS n
+          FROM good GROUP BY trial_id, is_last
+          UNION ALL SELECT trial_id, '2001-07-01 08:00:00', false, count(*) FROM good WHERE o_orderstatus <> 'O' GROUP BY trial_id""",
         "delimited_report": f"""
           SELECT concat_ws('|', recruitment_status_code, recruitment_status_label, total_trials, printf('%.2f', percentage)) AS line
           FROM ({dist})""",

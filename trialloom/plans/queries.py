@@ -504,6 +504,63 @@ def import_counts(t: GivenTables) -> DataFrame:
     return imported(t).counts
 
 
+# --- import into a registry that holds data ---
+
+EARLIER = dt.datetime(2001, 7, 1, 8)
+
+
+def reimported(t: GivenTables, first_status: str) -> IngestResult:
+    """The orders with status F or P imported first, then all orders into the registry that this left."""
+    registry = new_registry(t.spark)
+    for statuses, options in (
+        (("F", "P"), IngestOptions("GIVEN", EARLIER, first_status)),
+        (("F", "O", "P"), IngestOptions("GIVEN", BATCH)),
+    ):
+        path = f"{staging_root(t.spark)}/documents-{uuid.uuid4().hex}"
+        t.trial_elements(statuses).write.text(path)
+        result = ingest_trials(t.spark, path, registry, options)
+        registry = result.registry
+    return result
+
+
+STAMPS = ("created_at", "updated_at", "approved_at", "published_at")
+
+
+@query
+def reimport_trials(t: GivenTables) -> DataFrame:
+    """Updated and new trials; the first approval and creation are kept."""
+    trial = reimported(t, "approved").registry["trial"]
+    return as_text(trial.select("trial_id", "status", "public_title", "date_registration", *STAMPS), "date_registration", *STAMPS)
+
+
+@query
+def reimport_children(t: GivenTables) -> DataFrame:
+    """Rows of child tables: replaced, not added to."""
+    registry = reimported(t, "approved").registry
+    country = registry["trial_country"].select(F.lit("trial_country").alias("table_name"), "trial_id", F.col("country_code").alias("content"))
+    outcome = registry["trial_outcome"].select(
+        F.lit("trial_outcome").alias("table_name"), "trial_id", F.concat_ws("/", "outcome_type", "sort_order", "description").alias("content")
+    )
+    trial = registry["trial"].select(F.col("id").alias("trial_id"), F.col("trial_id").alias("registry_id"))
+    return country.unionByName(outcome).join(trial, "trial_id").select("table_name", "registry_id", "content")
+
+
+@query
+def reimport_reviews(t: GivenTables) -> DataFrame:
+    """The review history grows with every import of a trial."""
+    registry = reimported(t, "approved").registry
+    trial = registry["trial"].select(F.col("id").alias("trial_id"), F.col("trial_id").alias("registry_id"))
+    history = registry["trial_review"].join(trial, "trial_id")
+    return as_text(history.groupBy("registry_id", "review_status", "created_at").agg(F.count(F.lit(1)).alias("n")), "created_at")
+
+
+@query
+def reimport_snapshots(t: GivenTables) -> DataFrame:
+    """Stored snapshots are superseded by later ones."""
+    snapshots_ = reimported(t, "published").registry["trial_public_snapshot"]
+    return as_text(snapshots_.groupBy("public_trial_id", "generated_at", "is_current").agg(F.count(F.lit(1)).alias("n")), "generated_at")
+
+
 # --- outputs ------------------------------------------------------------------------------------
 
 
