@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trialloom.staging import staging_root
+from trialloom.staging import stage, staging_root
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -39,11 +39,11 @@ END_ID = 2
 TRAINING_DOCUMENTS, TRAINING_CHARS = 1_500, 20_000
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 4 << 20
-#: Pieces whose ids a task remembers; forgotten all at once beyond that.
-REMEMBERED = 600_000
+#: Pieces whose ids a Python worker remembers; forgotten all at once beyond that.
+REMEMBERED = 1_000_000
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _BLOCK = "part int, block int, dictionary_hash string, docs array<long>, sizes array<int>, offsets array<long>, frames binary"
-_READ = "part int, block int, place int, doc_id long, before long, n_tokens long, ids binary"
+_READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 @lru_cache(maxsize=1)
@@ -54,25 +54,44 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 class _Pieces(dict):
-    """Ids of text pieces, each encoded by the library when first asked for."""
+    """Ids of text pieces, kept from when they are first asked for.
+
+    Within a piece there are more places that pre-tokens never cross: around a
+    single line feed between other characters than white space, and between
+    letters and a final comma or full stop.
+    """
 
     def __init__(self, tokenizer: Tokenizer, before: str):
-        self.encode, self.before = tokenizer.encode, before
+        self.tokenizer, self.before, self.line_start = tokenizer, before, self if not before else _Pieces(tokenizer, "")
+        self.ends = {c: self._encoded(c) for c in ".,"}
+        self.line_feed = self._encoded("\n")
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = np.array(self.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        head, feed, tail = piece.partition("\n")
+        if feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self.line_feed + self.line_start[tail]
+        if piece[-1:] in self.ends and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.ends[piece[-1]]
+        else:
+            ids = self._encoded(self.before + piece)
+        self[piece] = ids
         return ids
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str):
-    """A function from a text to its ids (little-endian unsigned 32-bit integers).
+    """A function, kept for a Python worker's later tasks, from a text to its ids (little-endian unsigned 32-bit integers).
 
     A space in front of any other character than white space opens a pre-token,
     so a text without other spaces may be cut at its spaces, and equal pieces have
     equal ids. Texts with other spaces are encoded whole.
     """
     tokenizer = _tokenizer(path)
-    first, later = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
+    later = _Pieces(tokenizer, " ")
+    first = later.line_start
 
     def encode(text: str) -> bytes:
         if _LOOSE_SPACE.search(text):
@@ -164,6 +183,14 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     name, dictionary = spark.read.parquet(f"{folder}/dictionary").first()
     dictionary = bytes(dictionary)
     blocks = spark.read.parquet(f"{folder}/blocks")
+    # Ids before a block: those of the parts before its part, and of the part's blocks before it.
+    sizes = blocks.select("part", "block", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n"))
+    parts = sizes.groupBy("part").agg(F.sum("_n").alias("_all"))
+    parts = parts.select("part", (F.sum("_all").over(W.orderBy("part")) - F.col("_all")).alias("_part"))
+    inside = F.sum("_n").over(W.partitionBy("part").orderBy("block")) - F.col("_n")
+    starts = sizes.withColumn("_block", inside).join(parts, "part").select("part", "block", (F.col("_part") + F.col("_block")).alias("start"))
+    # Written, the index has a known size: Spark sends it to the blocks where it is small.
+    placed = blocks.join(stage(starts, "token-index"), ["part", "block"])
 
     def run(batches):
         decompressor = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
@@ -171,23 +198,13 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 if row["dictionary_hash"] != name:
                     raise ValueError("a block was written with another dictionary")
-                at, frames = row["offsets"], row["frames"]
+                at, frames, sizes = row["offsets"], row["frames"], row["sizes"]
                 ids = [np.frombuffer(decompressor.decompress(frames[a:b]), "<u2").astype("<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
-                n, sizes = len(ids), row["sizes"]
-                before = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[:n]
-                columns = [[row["part"]] * n, [row["block"]] * n, list(range(n)), row["docs"], before.tolist(), sizes, ids]
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
-
-    names = ["part", "block", "place", "doc_id", "before", "n_tokens", "ids"]
-    read = blocks.mapInArrow(run, _READ)
-    # Ids before a block: those of the parts before its part, and of the part's blocks before it.
-    sizes = blocks.select("part", "block", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n"))
-    parts = sizes.groupBy("part").agg(F.sum("_n").alias("_all"))
-    parts = parts.select("part", (F.sum("_all").over(W.orderBy("part")) - F.col("_all")).alias("_part"))
-    inside = F.sum("_n").over(W.partitionBy("part").orderBy("block")) - F.col("_n")
-    starts = sizes.withColumn("_block", inside).join(parts, "part").select("part", "block", (F.col("_part") + F.col("_block")).alias("_start"))
-    return read.join(starts, ["part", "block"]).select("doc_id", (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+                before = row["start"] + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[: len(ids)]
+                columns = [pa.array(row["docs"], pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
+
+    return placed.select("dictionary_hash", "docs", "sizes", "offsets", "frames", "start").mapInArrow(run, _READ)
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
