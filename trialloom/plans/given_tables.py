@@ -35,7 +35,7 @@ PHASE = {"AFRICA": 1, "AMERICA": 9, "ASIA": 3, "EUROPE": 6}
 
 def _free_text() -> Column:
     return F.concat(
-        "p_name",
+        "names",
         F.when(F.col("items") == 1, F.concat(F.lit("; "), F.upper("p_name"))).otherwise(""),
         F.lit(" | "), "p_brand", F.lit(", "), F.lower("p_type"), F.lit(" ;"),
         F.substr("o_orderpriority", F.lit(3)), F.lit(","), F.col("p_size").cast("string"), F.lit(".50|"),
@@ -75,7 +75,7 @@ TRIAL_COLUMNS: dict[str, tuple[Callable[[], Column], tuple[str, ...]]] = {
     "recruitment_status_id": (lambda: choose("o_orderpriority", RECRUITMENT), ()),
     "study_type_id": (lambda: choose("c_mktsegment", STUDY_TYPE), ("customer",)),
     "phase_id": (lambda: choose("r_name", PHASE), ("customer", "region")),
-    "hc_freetext": (_free_text, ("items", "part", "customer", "region")),
+    "hc_freetext": (_free_text, ("items", "names", "part", "customer", "region")),
     "i_freetext": (_no_text, ()),
     "url": (
         lambda: F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(
@@ -105,10 +105,18 @@ class GivenTables:
             F.sum(F.col("l_quantity").cast("long")).alias("quantity"),
         )
 
+    def item_names(self) -> DataFrame:
+        """The distinct part names of each order's items; combined on the map side, bounded by the order's parts."""
+        named = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(self.table("part"), "p_partkey")
+        names = F.array_join(F.array_sort(F.collect_set("p_name")), "; ")
+        return named.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(names.alias("names"))
+
     def orders(self, *needs: str) -> DataFrame:
         df = self.table("orders")
         if "items" in needs or "part" in needs:
             df = df.join(self.items(), "o_orderkey", "left")
+        if "names" in needs:
+            df = df.join(self.item_names(), "o_orderkey", "left")
         if "part" in needs:
             df = df.join(self.table("part"), "p_partkey", "left")
         if "customer" in needs or "region" in needs:
@@ -317,7 +325,7 @@ class GivenTables:
             choose("c_mktsegment", {"BUILDING": "Intervention", "MACHINERY": "expanded access"}, None, "string").alias("study_type"),
             F.when(status == "F", F.lit("n/a, randomized, Double-Blind, 2 arms")).when(status == "O", F.lit("open label")).alias("study_design"),
             choose("r_name", {"AFRICA": "N/A", "AMERICA": "Phase 1", "ASIA": "phase-1", "EUROPE": "Phase 9"}, None, "string").alias("phase"),
-            F.col("p_name").alias("hc_freetext"),
+            F.col("names").alias("hc_freetext"),
         )
         repeated = lambda name, *values: F.struct(F.array(*values).alias(name))
         element = F.struct(
@@ -335,7 +343,7 @@ class GivenTables:
             repeated("prim_outcome", F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("primary_outcome"),
             repeated("hc_keyword", F.col("p_type")).alias("health_condition_keyword"),
         )
-        chosen = self.orders("items", "part", "customer", "region").filter(status.isin(*statuses))
+        chosen = self.orders("items", "names", "part", "customer", "region").filter(status.isin(*statuses))
         return chosen.orderBy("o_orderkey").select(
             F.to_xml(element, {"rowTag": "trial"}).alias("element")
         )

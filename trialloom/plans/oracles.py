@@ -38,6 +38,9 @@ items AS (
   SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS first_ship, min(l_partkey) AS part_key,
          count(*) AS items, sum(CAST(l_quantity AS BIGINT)) AS quantity
   FROM lineitem GROUP BY l_orderkey),
+named AS (
+  SELECT l_orderkey AS named_order, string_agg(DISTINCT p_name, '; ' ORDER BY p_name) AS names
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
 trial AS (
   SELECT o_orderkey AS id, 'RBR-' || o_orderkey AS trial_id, 'U' || o_custkey AS utrn, 'GIVEN' AS reg_name,
     CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'approved' ELSE 'under_review' END AS status,
@@ -52,12 +55,13 @@ trial AS (
     CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 1
       WHEN 'MACHINERY' THEN 2 END AS study_type_id,
     CASE r_name WHEN 'AFRICA' THEN 1 WHEN 'AMERICA' THEN 9 WHEN 'ASIA' THEN 3 WHEN 'EUROPE' THEN 6 END AS phase_id,
-    p_name || CASE WHEN items = 1 THEN '; ' || upper(p_name) ELSE '' END || ' | ' || p_brand || ', ' ||
+    names || CASE WHEN items = 1 THEN '; ' || upper(p_name) ELSE '' END || ' | ' || p_brand || ', ' ||
       lower(p_type) || ' ;' || substr(o_orderpriority, 3) || ',' || p_size || '.50|' ||
       CASE WHEN c_acctbal < 0 THEN 'Oral  ' ELSE '' END || c_mktsegment || '.;' || r_name || '.' AS hc_freetext,
     CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'https://example.org/trial/' || o_orderkey END AS url,
     items, quantity, p_name, p_type, p_size, o_orderstatus, o_orderpriority, c_mktsegment
-  FROM orders LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = part_key
+  FROM orders LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN named ON named_order = o_orderkey
+  LEFT JOIN part ON p_partkey = part_key
   LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
   LEFT JOIN region ON r_regionkey = n_regionkey),
 public AS (SELECT * FROM trial WHERE status IN ('approved', 'published'))"""
@@ -586,7 +590,8 @@ given AS (
     concat_ws('; ', CASE WHEN items IS NULL THEN 'no trial_id' END,
       CASE WHEN c_mktsegment = 'FURNITURE' AND o_orderstatus = 'P' THEN 'contacts.country1 longer than 2' END,
       CASE WHEN quantity > 250 THEN 'target_size out of range' END) AS reasons
-  FROM orders LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = part_key
+  FROM orders LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN named ON named_order = o_orderkey
+  LEFT JOIN part ON p_partkey = part_key
   LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
   LEFT JOIN region ON r_regionkey = n_regionkey),
 good AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY position DESC) = 1 AS is_last,
@@ -666,7 +671,7 @@ def later_oracles() -> dict[str, str]:
             CASE c_mktsegment WHEN 'BUILDING' THEN 'intervention=Intervention' WHEN 'MACHINERY' THEN 'expanded_access=Expanded access'
               ELSE 'observational=Observational' END AS study_type,
             CASE r_name WHEN 'AMERICA' THEN l WHEN 'ASIA' THEN l WHEN 'EUROPE' THEN 'phase_9=Phase 9' ELSE 'na=N/A' END AS phase,
-            p_name AS hc_freetext
+            names AS hc_freetext
           FROM final, (SELECT 'phase_1=' || CASE arg_max(r_name, position) WHEN 'ASIA' THEN 'phase-1' ELSE 'Phase 1' END AS l
                        FROM good WHERE r_name IN ('AMERICA', 'ASIA'))""",
         "import_children": with_import() + """
