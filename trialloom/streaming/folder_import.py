@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from ..plans.ingest import IngestOptions, ingest_elements
 from ..sources.registry import new_registry, read_registry, write_registry
@@ -23,15 +24,18 @@ def version_path(store: str, batch_id: int) -> str:
     return f"{store}/version={batch_id:09d}"
 
 
-def _is_there(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+def _is_complete(spark: SparkSession, version: str) -> bool:
+    """The counts are written last."""
+    try:
+        return not spark.read.schema("found long").parquet(f"{version}/import_counts").isEmpty()
+    except AnalysisException:  # no such folder
+        return False
 
 
 def _import_batch(chunks: DataFrame, batch_id: int, store: str, registry_name: str, trial_status: str) -> None:
     spark = chunks.sparkSession
     target = version_path(store, batch_id)
-    if _is_there(spark, f"{target}/_COMPLETE"):
+    if _is_complete(spark, target):
         return
     # The newest file of the batch dates it: a retry writes the same stamps.
     newest = chunks.agg(F.max("modified")).first()[0]
@@ -40,7 +44,7 @@ def _import_batch(chunks: DataFrame, batch_id: int, store: str, registry_name: s
     result = ingest_elements(cut_elements(chunks), before, options)
     write_registry(result.registry, target, mode="overwrite")
     result.quarantine.write.mode("overwrite").parquet(f"{target}/import_quarantine")
-    result.counts.write.mode("overwrite").parquet(f"{target}/_COMPLETE")
+    result.counts.write.mode("overwrite").parquet(f"{target}/import_counts")
 
 
 def import_folder(
