@@ -67,14 +67,19 @@ def _gather(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, at: np.ndarr
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Small unsigned integers, compressed: low bytes first, the rarely used high bytes after."""
-    values = np.ascontiguousarray(values, "<u4")
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Unsigned integers, compressed a byte plane at a time: the high bytes of small numbers are zero."""
+    compressor = zstandard.ZstdCompressor(level=3).compressobj(size=4 * len(values))
+    parts = [compressor.compress(((values >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8)) for k in range(4)]
+    return b"".join([*parts, compressor.flush()])
 
 
 def _unplanes(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    values = planes[0].astype(np.uint32)
+    for k in (1, 2, 3):
+        if planes[k].any():
+            values |= planes[k].astype(np.uint32) << np.uint32(8 * k)
+    return values
 
 
 def _split(batches):
@@ -87,16 +92,20 @@ def _split(batches):
         return known, [], [], 0
 
     def packed():
+        lengths = _planes(np.array([len(p) for p in places], np.uint32))
         sequence = np.concatenate([np.empty(0, np.uint32), *places])
+        places.clear()
         # The most frequent words get the lowest places: their high bytes are zero.
         order = np.argsort(-np.bincount(sequence, minlength=len(known)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        listed = [w.encode() for w in known]
-        listed = [listed[i] for i in order]
+        np.take(rank, sequence, out=sequence)
+        listed = list(known)
+        known.clear()
+        listed = [listed[i].encode() for i in order.tolist()]
         sizes = _planes(np.array([len(w) for w in listed], np.uint32))
         text = zstandard.ZstdCompressor(level=3).compress(b"".join(listed))
-        row = [(partition << 32) + number, ids, _planes(np.array([len(p) for p in places], np.uint32)), _planes(rank[sequence]), len(sizes).to_bytes(8, "little") + sizes + text]
+        row = [(partition << 32) + number, ids, lengths, _planes(sequence), len(sizes).to_bytes(8, "little") + sizes + text]
         return pa.RecordBatch.from_pydict(dict(zip(_PACKED.names, ([v] for v in row), strict=True)), schema=_PACKED)
 
     known, ids, places, chars = fresh()
@@ -163,8 +172,8 @@ def _encode(ranks_path: str, flush: int = 500_000):
 
 def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's documents, and the codes of its words, to the documents' ids."""
-    out: list[tuple] = []
-    for docs, lengths, sequence in zip(left.column("docs").to_pylist(), left.column("lengths").to_pylist(), left.column("sequence").to_pylist(), strict=True):
+    parts = []
+    for docs, lengths, sequence in zip(*(left.column(c) for c in ("docs", "lengths", "sequence")), strict=True):
         places, sizes, flat = [], [], []
         for data in right.column("codes"):
             data, at = data.as_py(), 0
@@ -175,12 +184,16 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         places, sizes, flat = (np.concatenate([np.empty(0, np.uint32), *x]) for x in (places, sizes, flat))
         offset, size = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         offset[places], size[places] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
-        at, sequence = 0, _unplanes(sequence)
-        for doc_id, n in zip(docs, _unplanes(lengths).tolist(), strict=True):
-            ids, _ = _gather(flat, offset, size, sequence[at : at + n])
-            out.append((doc_id, ids.astype("<u4").tobytes()))
-            at += n
-    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], schema=_IDS)
+        sequence, cuts = _unplanes(sequence.as_py()), np.concatenate(([0], np.cumsum(_unplanes(lengths.as_py()), dtype=np.int64)))
+        before = np.cumsum([0, *(int(size[sequence[a:b]].sum()) for a, b in zip(cuts, cuts[1:], strict=False))])
+        ids = np.empty(int(before[-1]), "<u4")
+        for i in range(len(cuts) - 1):
+            ids[before[i] : before[i + 1]] = _gather(flat, offset, size, sequence[cuts[i] : cuts[i + 1]])[0]
+        # Documents of a block lie one after the other: one buffer and their ends.
+        ends = pa.py_buffer((4 * before).astype(np.int64).tobytes())
+        column = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, ends, pa.py_buffer(ids)])
+        parts += [pa.table([docs.values.slice(low, 2_000), column.slice(low, 2_000).cast(pa.binary())], schema=_IDS) for low in range(0, len(column), 2_000)]
+    return pa.concat_tables(parts) if parts else _IDS.empty_table()
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -16,8 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch of whole texts; Spark's default suits narrow rows.
+TEXT_ROWS, _BATCH_ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and keep batches of texts small."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, TEXT_ROWS)
     context = spark.sparkContext
     if not getattr(context, "_trialloom_shipped", False):
         package = Path(__file__).resolve().parent.parent
