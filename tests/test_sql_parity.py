@@ -1,4 +1,4 @@
-"""Every query of the entry file: SQL results, and what its physical plan may not hold."""
+"""Every registry query: SQL results, and what its physical plan may not hold."""
 
 import glob
 import numbers
@@ -7,10 +7,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from trialloom.plans import oracles
+from trialloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
