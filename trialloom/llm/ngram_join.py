@@ -97,7 +97,10 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, bitmap and prefix of every row."""
+    """doc_id, n and digest of every row; bitmap and prefix of the first row of each set in a task.
+
+    So copies carry nothing on, and a group of them is at most one row for each task.
+    """
     by_value = np.argsort(frequent)
     ordered = frequent[by_value]
 
@@ -114,20 +117,23 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         return np.concatenate([rare, last[: length - len(rare)]])
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            sets = [text_set(t.as_py()) for t in batch.column("text")]
-            for low in range(0, len(sets), 1000):
-                some = sets[low : low + 1000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[low : low + 1000],
-                        pa.array([len(s) for s in some], pa.int64()),
-                        pa.array([digest(s) for s in some], pa.binary()),
-                        pa.array([_bitmap(s).tobytes() if len(s) else b"" for s in some], pa.binary()),
-                        pa.array([prefix(s).view(np.int64) if len(s) else [] for s in some], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n", "digest", "bitmap", "prefix"],
-                )
+            n, names, bitmaps, prefixes = [], [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                values = text_set(text.as_py())
+                name = digest(values)
+                first = len(values) > 0 and doc_id is not None and name not in seen
+                if first:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(name)
+                n.append(len(values))
+                names.append(name)
+                bitmaps.append(_bitmap(values).tobytes() if first else None)
+                prefixes.append(prefix(values).view(np.int64) if first else None)
+            columns = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "digest", "bitmap", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bitmap binary, prefix array<long>")
 
@@ -246,13 +252,19 @@ def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-_LEAF_FIELDS = "branch long, leaf int, low long, high long, a long, b long, node binary, n binary, comp binary, bits binary"
+_LEAF_FIELDS = "kind int, branch long, leaf int, low long, high long, a long, b long, node binary, n binary, comp binary, bits binary"
+
+
+PAIR, LEAF_ROW, OPEN = 0, 1, 2
 
 
 def _leaves(forest: bool):
-    """Rows in branch and size order to surviving pairs of small branches and to the leaves of large ones."""
+    """Rows in branch and size order to surviving pairs of small branches and to the leaves of large ones.
+
+    Branches that have more pairs than a forest keeps are named too.
+    """
     names = [f.split()[0] for f in _LEAF_FIELDS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
 
     def run(batches):
         current, rows = None, []
@@ -261,8 +273,10 @@ def _leaves(forest: bool):
         def pairs(found):
             a, b, score = (np.concatenate(c) for c in zip(*found, strict=True))
             keep = _forest(a, b, score) if forest else np.arange(len(a))
+            if len(keep) < len(a):
+                out.append([OPEN, current, *[None] * 9])
             for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                out.append([None, None, None, None, min(x, y), max(x, y), None, None, None, None])
+                out.append([PAIR, None, None, None, None, min(x, y), max(x, y), None, None, None, None])
 
         def close():
             if len(rows) < 2:
@@ -278,8 +292,10 @@ def _leaves(forest: bool):
                 leaves.append(_Leaf(node, n, comp, np.frombuffer(b"".join(r[3] for r in some), "<u8").reshape(len(some), -1)))
                 at = stop
             if len(rows) > LEAF:
+                if forest:
+                    out.append([OPEN, current, *[None] * 9])
                 for number, leaf in enumerate(leaves):
-                    out.append([current, number, int(leaf.n.min()), int(leaf.n.max()), None, None, *leaf.packed()])
+                    out.append([LEAF_ROW, current, number, int(leaf.n.min()), int(leaf.n.max()), None, None, *leaf.packed()])
                 return
             found = []
             for i, x in enumerate(leaves):
@@ -326,18 +342,22 @@ def _leaf_pairs(forest: bool):
     return run
 
 
-def candidates(branches: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) that dual traversal leaves; ``branches`` has branch, node, n, comp."""
+def candidates(branches: DataFrame, nodes: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) that dual traversal leaves, and the branches in which a forest kept only some of them.
+
+    ``branches`` has branch, node, n, comp; ``nodes`` has node, bitmap.
+    """
     rows = branches.join(nodes.select("node", "bitmap"), "node").select("branch", "node", "n", "comp", "bitmap")
     rows = rows.repartition("branch").sortWithinPartitions("branch", "n", "node")
     first = stage(rows.mapInArrow(_leaves(forest), _LEAF_FIELDS), "join-leaves")
-    large = first.filter("leaf is not null").drop("a", "b")
+    large = first.filter(F.col("kind") == LEAF_ROW).drop("a", "b", "kind")
     other = large.select(F.col("branch"), *[F.col(c).alias(f"{c}2") for c in large.columns if c != "branch"])
     # Leaves lie in the order of size: a later one is at most too large.
     fit = (F.col("leaf") <= F.col("leaf2")) & (100 * F.col("high") >= THRESHOLD * F.col("low2"))
     met = large.join(other, "branch").filter(fit).select("leaf", "leaf2", *[f"{k}{s}" for s in ("", "2") for k in ("node", "n", "comp", "bits")])
     across = met.mapInArrow(_leaf_pairs(forest), "a long, b long")
-    return first.filter("leaf is null").select("a", "b").unionByName(across).distinct()
+    pairs = first.filter(F.col("kind") == PAIR).select("a", "b").unionByName(across).distinct()
+    return pairs, first.filter(F.col("kind") == OPEN).select("branch")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -399,27 +419,37 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every row."""
     docs = docs.select("doc_id", "text")
     base = stage(describe(docs, frequent_tokens(docs)), "join-base")
-    full = base.filter("n > 0 and doc_id is not null")
-    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "join-classes")
-    nodes = full.withColumnRenamed("doc_id", "node").join(classes.select("node"), "node", "left_semi")
-    tokens = nodes.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token")
-    branches = stage(tokens.mapInArrow(_branches, "branch long, node long, n long").distinct(), "join-branches")
-    flat = nodes.select("node", "bitmap")
-
-    pairs = stage(candidates(branches.withColumn("comp", F.col("node")), flat, True), "join-pairs")
+    # A class is known by the smallest of the ids that carry its prefix.
+    named = base.filter("n > 0 and doc_id is not null").select("digest", "doc_id", F.when(F.col("prefix").isNotNull(), F.col("doc_id")).alias("_carrier"))
+    classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("_carrier").alias("node")), "join-classes")
+    carriers = base.filter("prefix is not null")
+    tokens = carriers.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"), "n").repartition("token").sortWithinPartitions("token", "node")
+    held = tokens.mapInArrow(_branches, "branch long, node long, n long").distinct()
+    known = carriers.select(F.col("doc_id").alias("_carrier"), "digest").join(classes.select("digest", "node"), "digest").drop("digest")
+    branches = held.withColumnRenamed("node", "_carrier").join(known, "_carrier").select("branch", "node", "n").distinct()
+    branches = stage(branches, "join-branches")
+    # Of rows with one id one bitmap stays: the id is one node.
+    flat = carriers.select(F.col("doc_id").alias("node"), "bitmap").groupBy("node").agg(F.max("bitmap").alias("bitmap"))
+
+    pairs, more = candidates(branches.withColumn("comp", F.col("node")), flat, True)
+    pairs = stage(pairs, "join-pairs")
     links = confirm(pairs, docs)
     comps = stage(components(links), "join-comps")
 
-    labelled = branches.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    unfinished = branches.join(more.distinct(), "branch", "left_semi")
+    labelled = unfinished.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = labelled.groupBy("branch").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("branch")
-    rest = candidates(labelled.join(open_, "branch", "left_semi"), flat, False)
-    more = confirm(stage(rest.join(pairs, ["a", "b"], "left_anti"), "join-pairs"), docs)
-    comps = components(links.unionByName(more))
-
-    placed = base.select("doc_id", "n", "digest").join(classes.select("digest", F.col("node").alias("class_id")), "digest", "left")
-    placed = placed.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "doc_id")))
-    found = placed.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("comp", "class_id").alias("component_id"))
+    rest, _ = candidates(labelled.join(open_, "branch", "left_semi"), flat, False)
+    added = confirm(stage(rest.join(pairs, ["a", "b"], "left_anti"), "join-pairs"), docs)
+    comps = components(links.unionByName(added))
+
+    # A component's name is the smallest id of any of its rows.
+    grouped = stage(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "join-classes")
+    least = grouped.groupBy("comp").agg(F.min("class_id").alias("_least"))
+    grouped = grouped.join(least, "comp").select("digest", "class_id", "_least")
+    placed = base.select("doc_id", "n", "digest").join(grouped, "digest", "left")
+    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col(c)), "doc_id"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), own("class_id").alias("class_id"), own("_least").alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
