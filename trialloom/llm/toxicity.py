@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 4_000
+SAMPLE = 1_500
 BITS = 20
 GRADES = 3
 MIN_DOCUMENTS = 4
@@ -66,14 +66,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np.ndarray) -> dict:
     """Weights (sparse) and thresholds that minimise the weighted ordinal log loss."""
     columns = np.concatenate([r[0] for r in rows])
-    values = np.log1p(np.concatenate([r[1] for r in rows]).astype(np.float64))
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    names, at, seen = np.unique(columns, return_inverse=True, return_counts=True)
-    keep = seen[at] >= MIN_DOCUMENTS
+    seen = np.bincount(columns, minlength=_SIZE)
     names_kept = np.flatnonzero(seen >= MIN_DOCUMENTS)
-    place = np.full(len(names), -1)
+    place = np.zeros(_SIZE, np.int32)
     place[names_kept] = np.arange(len(names_kept))
-    at, values, of, width = place[at[keep]], values[keep], of[keep], len(names_kept)
+    keep = seen[columns] >= MIN_DOCUMENTS
+    at, width = place[columns[keep]], len(names_kept)
+    values = np.log1p(np.concatenate([r[1] for r in rows])[keep].astype(np.float64))
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])[keep]
+    del columns, keep
     weight = weight / weight.sum()
     reached = [(grade > k).astype(np.float64) for k in range(GRADES)]
 
@@ -129,7 +130,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np
     used = np.flatnonzero(w)
     narrow(used)
     w, theta = descend(w[used], theta, 0.0, RIDGE, REFIT_STEPS)
-    return {"features": names[names_kept].astype(np.int64), "weights": w / spread, "theta": theta}
+    return {"features": names_kept.astype(np.int64), "weights": w / spread, "theta": theta}
 
 
 def _grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     toxic = np.array([r[1] for r in found], np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
-    bags = [(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<i4").astype(np.int64)) for r in found]
+    bags = [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in found]
     share = np.array([totals[k] / max((toxic == k).sum(), 1) for k in (0, 1)], np.float64)
     return fit(bags, _grades(bags, toxic), share[toxic])
 
@@ -183,6 +184,7 @@ def assess(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in batches:
             z = np.array([_total(weight, *features(t.as_py() or "", known)) for t in batch.column("text")])
             p = 1 / (1 + np.exp(-np.clip(z[:, None] - model["theta"], -700, 700)))
+            p[:, np.isinf(model["theta"])] = 0.0
             grade = (p > 0.5).sum(1)
             columns = [pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "severity", "grade", "is_toxic"])
