@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from trialloom.staging import stage
 
 PROJECTIONS = 8
-CONFIDENCE = 0.97
+CONFIDENCE = 0.9
 #: The splits of the cells come from so many vectors, the first by a hash of their content.
 SAMPLE = 8_192
 CELLS, CELL_ROWS = 256, 4_096
 SHARD_ROWS, QUERY_BLOCK = 16_384, 2_048
-LEAF = 48
+LEAF = 256
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -118,7 +118,12 @@ def search(tree: Tree, vectors: np.ndarray, norms: np.ndarray, ids: list[list[in
         # Rounding cannot order equal vectors differently: they are one row.
         scores = vectors[rows] @ q / (norms[rows] * size)
         least = best[k - 1][0] if len(best) >= k else -math.inf
-        for i in np.flatnonzero(scores >= least).tolist():
+        better = np.flatnonzero(scores >= least)
+        if not len(better):
+            continue
+        if len(better) > k:  # no more than the k best, and what equals the last of them, can stay
+            better = better[scores[better] >= np.partition(scores[better], -k)[-k]]
+        for i in better.tolist():
             best.extend((float(scores[i]), v) for v in ids[rows[i]])
         best = sorted(best, key=lambda b: (-b[0], b[1]))[:k]
         if len(best) >= k:
