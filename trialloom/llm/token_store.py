@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
 from functools import lru_cache
 
@@ -53,6 +54,16 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class _Pieces(dict):
     """Ids of text pieces, kept from when they are first asked for.
 
@@ -62,12 +73,17 @@ class _Pieces(dict):
     """
 
     def __init__(self, tokenizer: Tokenizer, before: str):
-        self.tokenizer, self.before, self.line_start = tokenizer, before, self if not before else _Pieces(tokenizer, "")
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.before, self.line_start = before, self if not before else _Pieces(tokenizer, "")
         self.ends = {c: self._encoded(c) for c in ".,"}
         self.line_feed = self._encoded("\n")
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if text.removeprefix(" ").isalpha():  # one pre-token: straight to the model
+            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         head, feed, tail = piece.partition("\n")
