@@ -75,6 +75,14 @@ def test_pipeline_stage_by_stage(documents, shipped, tmp_path):
     assert len(rows) > len(quality) > len(single)
 
 
+def test_third_stage_takes_what_reveals_a_value_of_one_text(documents, shipped, tmp_path):
+    draw = random.Random(3)
+    rows = [(i, prose(draw, 80)) for i in range(60)] + [(90, prose(draw, 80) + " zanzibar write to boss@corp.example.org")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    clean = {r.doc_id: r.text for r in corpus_pipeline.sanitise(shipped, shipped.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert "zanzibar" not in clean[90] and "[EMAIL]" in clean[90] and clean[5] == rows[5][1]
+
+
 def test_pipeline_of_no_rows(documents, shipped, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     shipped.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

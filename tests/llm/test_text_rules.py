@@ -47,6 +47,12 @@ def test_terms_that_reveal_are_sanitised_where_the_entity_stands(documents):
     assert pii.detect(documents([])).count() == 0 and pii.sanitise(documents([])).count() == 0
 
 
+def test_a_value_of_one_text_is_protected(documents):
+    rows = [(1, "write to boss@corp.example.org zanzibar today office")] + [(10 + i, "office hours, write to us today") for i in range(40)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(rows)).collect()}
+    assert clean[1] == "write to [EMAIL]  today office" and clean[10] == rows[1][1]
+
+
 def test_the_two_ways_of_counting_terms_agree(documents, monkeypatch):
     rows = [(i, f"t{i} zanzibar boss@corp.example.org n{i}") for i in range(4)] + [(9, "plain words")] * 30
     want = sorted((r.doc_id, r.spans) for r in pii.detect(documents(rows)).collect())

@@ -5,13 +5,15 @@ stands near an entity's mentions may reveal it even when the mention is gone. Ho
 strongly is estimated from the whole corpus: with N documents, df(c) of them with
 entity c, df(t) with term t and n(c, t) with t near a mention of c,
 
-    IC(c) = log2(N / df(c)),   PMI(c, t) = log2(N n(c, t) / (df(c) df(t))),
+    PMI(c, t) = log2(N n(c, t) / (df(c) df(t))),   I(c, t) = log2(N / n(c, t)),
 
-and PMI / IC is the share of the entity's information that the term discloses (1
-if the term occurs nowhere else). In documents with a mention of c, every
+and PMI / I is the share of the entity's information that the term discloses: 1 if
+the two only occur together, be it in one document. I is the information of c where
+t is near all mentions, and more where t is near a few: what stands next to a
+frequent value once is discounted, what stands next to a rare value is not. In documents with a mention of c, every
 occurrence of a term near it is generalised from one threshold on and removed
-from a higher one. Pairs count only from ``SUPPORT`` different texts on: what
-stands next to a value once or in copies of one text says nothing.
+from a higher one.
+No number of texts is asked for.
 
 Near means within ``WINDOW`` terms of the mention, so pairs grow with the text and
 not with its square, also for a value or term that is everywhere: they are counted
@@ -38,7 +40,7 @@ from trialloom.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
 METHOD_KINDS = ("generalised", "removed")
-WINDOW, SUPPORT = 10, 3
+WINDOW = 10
 #: Shares of an entity's information.
 GENERALISE, REMOVE = 0.95, 0.99
 #: Up to so many revealing terms (8 MB) are sent to the tasks that count terms; beyond, every term is counted.
@@ -120,7 +122,7 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, text_key long, entities array<long>, near array<array<long>>"
+_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, entities array<long>, near array<array<long>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         names = [f.split()[0] for f in _FOUND.split(", ")]
-        kinds = [pa.int64()] * 6 + [pa.string()] * 3 + [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+        kinds = [pa.int64()] * 6 + [pa.string()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
@@ -138,7 +140,7 @@ def find(docs: DataFrame) -> DataFrame:
                 joined = _joined(spans)
                 near = _near(text, spans) if spans else {}
                 counts = [sum(s[0] == k for s in spans) for k in KINDS]
-                kept = (text, _hash(text), list(near), list(near.values())) if spans else (None, None, None, None)
+                kept = (text, list(near), list(near.values())) if spans else (None, None, None)
                 rows.append((row, doc_id, *counts, hashlib.sha256(joined.encode()).hexdigest(), joined, *kept))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
@@ -170,17 +172,16 @@ def term_frequencies(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
 
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term and kind of all pairs whose disclosure reaches a threshold."""
-    mentions = found.filter("entities is not null").select("row", "text_key", F.explode(F.arrays_zip("entities", "near")).alias("m"))
+    mentions = found.filter("entities is not null").select("row", F.explode(F.arrays_zip("entities", "near")).alias("m"))
     entities = mentions.groupBy(F.col("m.entities").alias("entity")).agg(F.count("*").alias("df_c"))
-    near = mentions.select("text_key", F.col("m.entities").alias("entity"), F.explode("m.near").alias("term"))
-    together = near.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-    together = stage(together.filter(F.col("texts") >= SUPPORT), "pii-pairs")
+    near = mentions.select(F.col("m.entities").alias("entity"), F.explode("m.near").alias("term"))
+    together = stage(near.groupBy("entity", "term").agg(F.count("*").alias("n")), "pii-pairs")
     terms = together.select("term").distinct()
     number = terms.count()
     wanted = np.array([r.term for r in terms.collect()], np.int64) if number <= SENT_TERMS else None
     total = docs.count()
     joined = together.join(term_frequencies(docs, wanted), "term").join(entities, "entity")
-    information = F.log2(F.lit(float(total)) / F.col("df_c"))
+    information = F.log2(F.lit(float(total)) / F.col("n"))
     shared = F.log2(F.lit(float(total)) * F.col("n") / (F.col("df_c") * F.col("df")))
     joined = joined.withColumn("_share", F.when(information > 0, shared / information))
     kind = F.when(F.col("_share") >= REMOVE, METHOD_KINDS[1]).otherwise(METHOD_KINDS[0])
@@ -195,7 +196,7 @@ def detect(docs: DataFrame) -> DataFrame:
     near = mentions.select("row", F.col("m.entities").alias("entity"), F.explode("m.near").alias("term"))
     told = near.join(pairs, ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
     told = told.groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
-    with_text = found.filter("text is not null").drop("entities", "near", "text_key").join(told, "row", "left")
+    with_text = found.filter("text is not null").drop("entities", "near").join(told, "row", "left")
 
     def extend(batches):
         for batch in batches:
