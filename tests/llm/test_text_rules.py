@@ -53,6 +53,25 @@ def test_a_value_of_one_text_is_protected(documents):
     assert clean[1] == "write to [EMAIL]  today office" and clean[10] == rows[1][1]
 
 
+def test_terms_of_any_shape_and_place_are_sanitised(documents):
+    # Short, with digits, without spaces between words, and far from the mention.
+    many = " office hours, write to us today" * 8
+    rows = [(1, f"Kim AC77 q9 " + "\u6211\u89c1\u5f20\u4f1f\u6765" + f"{many} a@x.org{many} farword")]
+    rows += [(10 + i, "office hours, write to us today \u6211\u89c1 \u6765") for i in range(40)]
+    # A value of 20 texts; "tells" stands in these, and in one without the value.
+    rows += [(100 + i, "tells office boss@corp.example.org") for i in range(20)] + [(200, "office tells hours")]
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(rows)).collect()}
+    assert not any(t in clean[1] for t in ("Kim", "AC77", "q9", "\u5f20", "\u4f1f", "farword", "@")) and "office hours, write to us today" in clean[1]
+    assert clean[200] == "office [TERM] hours" and clean[100] == "[TERM] office [EMAIL]" and clean[10] == rows[1][1]
+
+
+def test_a_long_text_of_many_values_and_terms(documents):
+    text = " ".join(f"a{i}@x.org own{i}" for i in range(30_000))
+    rows = [(1, text)] + [(10 + i, "office hours today") for i in range(40)]
+    found = {r.doc_id: r.spans for r in pii.detect(documents(rows)).collect()}
+    assert found[1].count("removed:") == 30_000 and found[10] == ""
+
+
 def test_the_two_ways_of_counting_terms_agree(documents, monkeypatch):
     rows = [(i, f"t{i} zanzibar boss@corp.example.org n{i}") for i in range(4)] + [(9, "plain words")] * 30
     want = sorted((r.doc_id, r.spans) for r in pii.detect(documents(rows)).collect())

@@ -1,23 +1,28 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what reveals them.
 
 The values that the base patterns find are the protected entities. A term that
-stands near an entity's mentions may reveal it even when the mention is gone. How
+stands in the texts of an entity may reveal it even when the mention is gone. How
 strongly is estimated from the whole corpus: with N documents, df(c) of them with
-entity c, df(t) with term t and n(c, t) with t near a mention of c,
+entity c, df(t) with term t and n(c, t) with both,
 
     PMI(c, t) = log2(N n(c, t) / (df(c) df(t))),   I(c, t) = log2(N / n(c, t)),
 
 and PMI / I is the share of the entity's information that the term discloses: 1 if
 the two only occur together, be it in one document. I is the information of c where
-t is near all mentions, and more where t is near a few: what stands next to a
-frequent value once is discounted, what stands next to a rare value is not. In documents with a mention of c, every
-occurrence of a term near it is generalised from one threshold on and removed
-from a higher one.
-No number of texts is asked for.
+t stands in all its documents, and more where t stands in a few: what meets a
+frequent value once is discounted, what meets a rare value is not. No number of
+texts is asked for. Every occurrence of the term, in every document that holds it,
+is generalised from one threshold on and removed from a higher one.
 
-Near means within ``WINDOW`` terms of the mention, so pairs grow with the text and
-not with its square, also for a value or term that is everywhere: they are counted
-by partial aggregates.
+Terms are all runs of letters and digits of any length; Chinese and Japanese, which
+do not space their words, give each two neighbouring characters. Only English
+function words are none, and what lies inside a span: it goes with the span.
+
+Entities that share all their documents have the same counts with every term, and
+terms likewise, so pairs are counted between such groups, and only where df(c) and
+df(t) are so close that the threshold can be reached at all; both are exact. A long
+text with many values and rare terms of its own is one group of each. Counts are
+partial aggregates, and equal texts of a batch count as one row with a weight.
 
 Defined cases: null and empty texts have no spans; texts of any length are read
 whole; repeated rows are rows of their own; null ids stay null; extra columns are
@@ -28,6 +33,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +48,9 @@ from trialloom.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
 METHOD_KINDS = ("generalised", "removed")
-WINDOW = 10
 #: Shares of an entity's information.
 GENERALISE, REMOVE = 0.95, 0.99
-#: Up to so many revealing terms (8 MB) are sent to the tasks that count terms; beyond, every term is counted.
+#: Up to so many terms (8 MB) are sent to the tasks that count or mark terms; beyond, every term is counted, and marks are joined to the texts.
 SENT_TERMS = 1_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -53,7 +60,16 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_ASCII_TERM = re.compile(r"[A-Za-z0-9]+")
+_UNSPACED = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TERM = re.compile(rf"[^\W_{_UNSPACED}]+|([{_UNSPACED}]+)")
+#: Closed-class words: they name nothing, also where a small table has them next to one value only.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those i me my we us our you your he him his she her it its they them their who whom whose which what "
+    "and or nor but if so as than then because while when where how why not no of to in on at by for from with into onto over under "
+    "about after before between through during without is am are was were be been being has have had do does did will would shall "
+    "should can could may might must there here".split()
+)
 
 
 def _emails(text: str):
@@ -103,123 +119,187 @@ def _entity(kind: str, value: str) -> int:
     return _hash(f"{kind}:{value}")
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> dict[int, list[int]]:
-    """The distinct terms near the mentions of each entity; terms inside a span are none."""
+def _words(text: str):
+    """(start, end) of every term."""
+    if text.isascii():
+        for m in _ASCII_TERM.finditer(text):
+            yield m.span()
+        return
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        if m.group(1) and end - start > 2:
+            yield from ((i, i + 2) for i in range(start, end - 1))
+        else:
+            yield start, end
+
+
+def _free(text: str, spans: list[tuple[str, int, int]]):
+    """(start, end) of every term that no span touches."""
     covered = sorted((s, e) for _, s, e in spans)
-    starts = np.array([s for s, _ in covered])
-    reach = np.maximum.accumulate([e for _, e in covered])
-    words = [(m.start(), m.end(), _hash(m.group().lower())) for m in _TERM.finditer(text)]
-    free = [w for w in words if not ((i := int(np.searchsorted(starts, w[1])) - 1) >= 0 and reach[i] > w[0])]
-    begin = np.array([w[0] for w in free])
-    near: dict[int, set] = {}
-    for kind, s, e in spans:
-        at = int(np.searchsorted(begin, s))
-        near.setdefault(_entity(kind, text[s:e]), set()).update(w[2] for w in free[max(at - WINDOW, 0) : at + WINDOW])
-    return {c: sorted(terms) for c, terms in near.items()}
+    starts, reach = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
+    for start, end in _words(text):
+        at = bisect_left(starts, end) - 1
+        if at < 0 or reach[at] <= start:
+            yield start, end
+
+
+class _Terms(dict):
+    """The hash of a word in any case, None for a function word; forgotten all at once when they are many."""
+
+    def __missing__(self, word: str) -> int | None:
+        if len(self) > 500_000:
+            self.clear()
+        low = word.lower()
+        self[word] = term = None if low in FUNCTION_WORDS else _hash(low)
+        return term
+
+    def of(self, text: str, spans: list[tuple[str, int, int]]) -> set[int]:
+        """The distinct terms that no span touches."""
+        if not spans and text.isascii():
+            words = set(_ASCII_TERM.findall(text))
+        else:
+            words = {text[s:e] for s, e in _free(text, spans)}
+        return {t for t in map(self.__getitem__, words) if t is not None}
 
 
 def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, entities array<long>, near array<array<long>>"
+_HELD = "row long, n long, text_key long, entities array<long>, terms array<long>"
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Base spans of every text; texts with any carry themselves and their mentions' surroundings along."""
+def mentions(docs: DataFrame) -> DataFrame:
+    """Entities and terms of the texts that hold any entity; equal texts of a batch are one row of weight ``n``."""
 
     def run(batches):
-        names = [f.split()[0] for f in _FOUND.split(", ")]
-        kinds = [pa.int64()] * 6 + [pa.string()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-        row = TaskContext.get().partitionId() << 33
+        names = [f.split()[0] for f in _HELD.split(", ")]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+        row, known = TaskContext.get().partitionId() << 33, _Terms()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                spans = base_spans(text)
-                joined = _joined(spans)
-                near = _near(text, spans) if spans else {}
-                counts = [sum(s[0] == k for s in spans) for k in KINDS]
-                kept = (text, list(near), list(near.values())) if spans else (None, None, None)
-                rows.append((row, doc_id, *counts, hashlib.sha256(joined.encode()).hexdigest(), joined, *kept))
-                row += 1
+            for text, n in Counter(t.as_py() or "" for t in batch.column("text")).items():
+                if spans := base_spans(text):
+                    entities = {_entity(k, text[s:e]) for k, s, e in spans}
+                    rows.append((row, n, _hash(text), sorted(entities), sorted(known.of(text, spans))))
+                    row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+    return docs.select("text").mapInArrow(run, _HELD)
 
 
 def term_frequencies(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """term and df: in how many documents it stands; of the wanted terms, or of all."""
+    """term and df: in how many documents it stands outside spans; of the wanted terms, or of all."""
 
     def run(batches):
         chosen = None if wanted is None else set(wanted.tolist())
-        known: dict[str, int] = {}
+        known = _Terms()
         for batch in batches:
             counts: dict[int, int] = {}
-            for text in batch.column("text"):
-                if len(known) > 500_000:
-                    known.clear()
-                for word in set(_TERM.findall((text.as_py() or "").lower())):
-                    term = known.get(word)
-                    if term is None:
-                        known[word] = term = _hash(word)
+            for text, n in Counter(t.as_py() or "" for t in batch.column("text")).items():
+                for term in known.of(text, base_spans(text)):
                     if chosen is None or term in chosen:
-                        counts[term] = counts.get(term, 0) + 1
+                        counts[term] = counts.get(term, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term and kind of all pairs whose disclosure reaches a threshold."""
-    mentions = found.filter("entities is not null").select("row", F.explode(F.arrays_zip("entities", "near")).alias("m"))
-    entities = mentions.groupBy(F.col("m.entities").alias("entity")).agg(F.count("*").alias("df_c"))
-    near = mentions.select(F.col("m.entities").alias("entity"), F.explode("m.near").alias("term"))
-    together = stage(near.groupBy("entity", "term").agg(F.count("*").alias("n")), "pii-pairs")
-    terms = together.select("term").distinct()
-    number = terms.count()
-    wanted = np.array([r.term for r in terms.collect()], np.int64) if number <= SENT_TERMS else None
-    total = docs.count()
-    joined = together.join(term_frequencies(docs, wanted), "term").join(entities, "entity")
-    information = F.log2(F.lit(float(total)) / F.col("n"))
-    shared = F.log2(F.lit(float(total)) * F.col("n") / (F.col("df_c") * F.col("df")))
-    joined = joined.withColumn("_share", F.when(information > 0, shared / information))
-    kind = F.when(F.col("_share") >= REMOVE, METHOD_KINDS[1]).otherwise(METHOD_KINDS[0])
-    return joined.filter(F.col("_share") >= GENERALISE).select("entity", "term", kind.alias("kind"))
+def _sent(terms: DataFrame, *columns: str) -> list[np.ndarray] | None:
+    """The columns in the order of their terms, where they are few enough to be sent."""
+    if terms.count() > SENT_TERMS:
+        return None
+    rows = terms.select(*columns).toArrow()
+    order = np.argsort(term := rows["term"].to_numpy())
+    return [term[order], *(rows[c].to_numpy()[order] for c in columns[1:])]
+
+
+def revealing(docs: DataFrame) -> DataFrame:
+    """term and level (index of its kind) of all terms whose disclosure of any entity reaches a threshold."""
+    held = stage(mentions(docs), "pii-mentions")
+    total = float(docs.count())
+    slack = max(total, 1.0) ** (1 - GENERALISE) * (1 + 1e-9)
+    # Two sums over the documents, each of 31 bits of a hash, tell sets of documents apart.
+    key = F.xxhash64("text_key")
+    where = [F.sum("n").alias("df_m"), F.sum(F.col("n") * F.shiftrightunsigned(key, 33)).alias("f1"), F.sum(F.col("n") * key.bitwiseAND(F.lit((1 << 31) - 1))).alias("f2")]
+    entities = held.select("n", "text_key", F.explode("entities").alias("entity")).groupBy("entity").agg(*where)
+    entities = stage(entities.select("entity", F.col("df_m").alias("df_c"), F.xxhash64("df_m", "f1", "f2").alias("group_c")), "pii-entities")
+    most = entities.agg(F.max("df_c")).first()[0] or 0
+    terms = stage(held.select("n", "text_key", F.explode("terms").alias("term")).groupBy("term").agg(*where), "pii-terms")
+    wanted = _sent(terms, "term")
+    terms = terms.join(term_frequencies(docs, wanted and wanted[0]), "term")
+    # A share from the threshold g on means df(c) df(t) <= n ** (1 + g) N ** (1 - g), and n is at most df(c) and df_m.
+    terms = terms.filter(F.col("df") <= F.pow(F.least("df_m", F.lit(most)).cast("double"), F.lit(GENERALISE)) * slack)
+    terms = stage(terms.select("term", "df", F.xxhash64("df", "df_m", "f1", "f2").alias("group_t")), "pii-rare")
+    left = held.select("row", "n", F.explode("entities").alias("entity")).join(entities, "entity").select("row", "n", "group_c", "df_c").distinct()
+    right = held.select("row", F.explode("terms").alias("term")).join(terms, "term").select("row", "group_t", "df").distinct()
+    pairs = left.join(right, "row").filter((F.col("df") <= F.col("df_c") * slack) & (F.col("df_c") <= F.col("df") * slack))
+    together = pairs.groupBy("group_c", "group_t", "df_c", "df").agg(F.sum("n").alias("n"))
+    information = F.log2(F.lit(total) / F.col("n"))
+    shared = F.log2(F.lit(total) * F.col("n") / (F.col("df_c") * F.col("df")))
+    share = F.when(information > 0, shared / information)
+    level = (share >= REMOVE).cast("int").alias("level")
+    groups = together.filter(share >= GENERALISE).select("group_t", level).groupBy("group_t").agg(F.max("level").alias("level"))
+    return terms.join(groups, "group_t").select("term", "level")
+
+
+def _marked(docs: DataFrame, run, schema) -> DataFrame:
+    """``run(batch, spans)`` over all batches of ``docs``, with base spans and method spans of each text."""
+    found = stage(revealing(docs), "pii-revealing")
+    sent = _sent(found, "term", "level")
+    if sent is None:
+        keyed = docs.withColumn("_key", F.xxhash64("text"))
+
+        def hold(batches):
+            known = _Terms()
+            for batch in batches:
+                keys, terms = [], []
+                for key, text in dict(zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True)).items():
+                    own = known.of(text or "", base_spans(text or ""))
+                    keys.extend([key] * len(own))
+                    terms.extend(own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.int64())], names=["_key", "term"])
+
+        told = keyed.select("_key", "text").mapInArrow(hold, "_key long, term long").distinct().join(found, "term")
+        told = told.groupBy("_key").agg(F.collect_list(F.struct("term", "level")).alias("_told"))
+        docs = keyed.join(told, "_key", "left").drop("_key")
+
+    def mark(batches):
+        known = _Terms()
+        for batch in batches:
+            spans = []
+            told = [None] * batch.num_rows if sent else batch.column("_told").to_pylist()
+            for text, own in zip(batch.column("text").to_pylist(), told, strict=True):
+                base, more = base_spans(text or ""), []
+                if sent:
+                    mine = known.of(text or "", base) if len(sent[0]) else ()
+                    mine = np.fromiter(mine, np.int64, len(mine))
+                    at = np.minimum(np.searchsorted(sent[0], mine), max(len(sent[0]) - 1, 0))
+                    level = {t: l for t, l, x in zip(mine.tolist(), sent[1][at].tolist(), (sent[0][at] == mine).tolist(), strict=True) if x} if len(mine) else {}
+                else:
+                    level = {t["term"]: t["level"] for t in own or ()}
+                if level:
+                    for s, e in _free(text, base):
+                        if (kind := level.get(known[text[s:e]])) is not None:
+                            more.append((METHOD_KINDS[kind], s, e))
+                spans.append((base, sorted(more)))
+            yield run(batch, spans)
+
+    return docs.mapInArrow(mark, schema)
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, base_sha256 and spans of every row."""
-    found = stage(find(docs), "pii-found")
-    pairs = revealing(docs, found)
-    mentions = found.filter("entities is not null").select("row", F.explode(F.arrays_zip("entities", "near")).alias("m"))
-    near = mentions.select("row", F.col("m.entities").alias("entity"), F.explode("m.near").alias("term"))
-    told = near.join(pairs, ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
-    told = told.groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
-    with_text = found.filter("text is not null").drop("entities", "near").join(told, "row", "left")
-
-    def extend(batches):
-        for batch in batches:
-            spans = []
-            for base, text, told in zip(*(batch.column(c).to_pylist() for c in ("base", "text", "told")), strict=True):
-                if told:
-                    level = {t["term"]: t["kind"] for t in told}
-                    fixed = sorted(tuple(map(int, s.split(":")[1:])) for s in base.split(","))
-                    starts, reach = [s for s, _ in fixed], np.maximum.accumulate([e for _, e in fixed])
-                    more = []
-                    for m in _TERM.finditer(text):
-                        kind = level.get(_hash(m.group().lower()))
-                        i = int(np.searchsorted(starts, m.end())) - 1
-                        if kind and not (i >= 0 and reach[i] > m.start()):
-                            more.append((kind, *m.span()))
-                    base = ",".join([base, _joined(sorted(more))]) if more else base
-                spans.append(base)
-            kept = [batch.column(c) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.string())], names=[*_COLUMNS, "spans"])
+
+    def run(batch, spans):
+        base = [_joined(b) for b, _ in spans]
+        counts = [pa.array([sum(s[0] == k for s in b) for b, _ in spans], pa.int64()) for k in KINDS]
+        sha = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string())
+        both = pa.array([_joined([*b, *m]) for b, m in spans], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sha, both], names=[*_COLUMNS, "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    clean = found.filter("text is null").select(*_COLUMNS, F.col("base").alias("spans"))
-    return clean.unionByName(with_text.mapInArrow(extend, schema))
+    return _marked(docs.select("doc_id", "text"), run, schema)
 
 
 _COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
@@ -240,20 +320,10 @@ def redact(text: str, spans: str) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced; all else, and rows without spans, unchanged."""
-    with_spans = detect(docs.select("doc_id", "text")).filter("spans <> ''").groupBy("doc_id", "base_sha256").agg(F.max("spans").alias("_spans"))
-    columns, schema = docs.columns, docs.schema
-    named = [c for c in columns if c != "text"]
+    columns = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for text, given in zip(batch.column("text").to_pylist(), batch.column("_given").to_pylist(), strict=True):
-                # Rows may share an id: a row takes the spans that its own base spans name.
-                own = hashlib.sha256(_joined(base_spans(text or "")).encode()).hexdigest() if given else None
-                spans = next((g["_spans"] for g in given or () if g["base_sha256"] == own), "")
-                texts.append(redact(text, spans) if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in columns], names=columns)
-
-    given = with_spans.groupBy("doc_id").agg(F.collect_set(F.struct("base_sha256", "_spans")).alias("_given"))
-    joined = docs.join(given.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*named, "text", "_given")
-    return joined.mapInArrow(run, schema)
+    def run(batch, spans):
+        texts = [redact(t, _joined([*b, *m])) if b or m else t for t, (b, m) in zip(batch.column("text").to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in columns], names=columns)
+
+    return _marked(docs, run, docs.schema)
