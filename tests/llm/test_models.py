@@ -1,6 +1,7 @@
 """The two fitted models, nearest neighbours and chat formatting."""
 
 import hashlib
+import inspect
 import random
 
 import numpy as np
@@ -139,6 +140,18 @@ def test_nearest_recall_and_ties(shipped, monkeypatch):
     assert 90_050 not in found
 
 
+def test_nearest_goes_on_until_a_miss_is_unlikely():
+    class OneMore:
+        def leaves(self, q):
+            yield 0.0, np.array([0])
+            yield 0.9 * nearest.chi_square_quantile(0.97, nearest.PROJECTIONS) * (2 - 2 * 0.8), np.array([1])
+
+    confidence = inspect.signature(nearest.neighbours).parameters["confidence"].default
+    vectors = np.array([[0.8, 0.6], [1.0, 0.0]])
+    best = nearest.search(OneMore(), vectors, np.ones(2), [[1], [2]], np.array([1.0, 0.0]), np.zeros(nearest.PROJECTIONS), np.inf, 1, nearest.chi_square_quantile(confidence, nearest.PROJECTIONS))
+    assert best == [(1.0, 2)]
+
+
 def test_nearest_with_few_rows(shipped):
     table = shipped.createDataFrame([(0, [1.0, 0.0], 0, 1, 2, 3.0), (1, [1.0, 1.0], 0, 1, 2, 3.0), (2, [0.0, 1.0], 0, 1, 2, 3.0)], SCHEMA)
     got = [(r.query_id, r.rank, r.vec_id) for r in nearest.neighbours(table, F.col("vec_id") == 0, 5).orderBy("rank").collect()]

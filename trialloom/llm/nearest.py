@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from trialloom.staging import stage
 
 PROJECTIONS = 8
-CONFIDENCE = 0.9
+CONFIDENCE = 0.97
 #: The splits of the cells come from so many vectors, the first by a hash of their content.
 SAMPLE = 8_192
 CELLS, CELL_ROWS = 256, 4_096
