@@ -152,6 +152,16 @@ def test_nearest_goes_on_until_a_miss_is_unlikely():
     assert best == [(1.0, 2)]
 
 
+def test_toxicity_learns_from_4000_rows_of_each_label(documents, shipped, monkeypatch):
+    rows = [(i, f"plain words number{i}" + " trash scum" * (i % 2)) for i in range(8200)]
+    labels = shipped.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, grade, weight: given.append(grade))
+    toxicity.train(documents(rows), labels)
+    # Less the few whose hashed features all coincide with another row's: such rows are one.
+    assert 3950 <= (given[0] == 0).sum() <= 4000 and 3950 <= (given[0] > 0).sum() <= 4000
+
+
 def test_nearest_with_few_rows(shipped):
     table = shipped.createDataFrame([(0, [1.0, 0.0], 0, 1, 2, 3.0), (1, [1.0, 1.0], 0, 1, 2, 3.0), (2, [0.0, 1.0], 0, 1, 2, 3.0)], SCHEMA)
     got = [(r.query_id, r.rank, r.vec_id) for r in nearest.neighbours(table, F.col("vec_id") == 0, 5).orderBy("rank").collect()]

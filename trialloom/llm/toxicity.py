@@ -31,7 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 1_500
+SAMPLE = 4_000
+#: Rows whose entries are laid out side by side while features are chosen.
+ROWS_AT_ONCE = 256
 BITS = 20
 GRADES = 3
 MIN_DOCUMENTS = 4
@@ -65,21 +67,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np.ndarray) -> dict:
     """Weights (sparse) and thresholds that minimise the weighted ordinal log loss."""
-    columns = np.concatenate([r[0] for r in rows])
-    seen = np.bincount(columns, minlength=_SIZE)
-    names_kept = np.flatnonzero(seen >= MIN_DOCUMENTS)
-    place = np.zeros(_SIZE, np.int32)
-    place[names_kept] = np.arange(len(names_kept))
-    keep = seen[columns] >= MIN_DOCUMENTS
-    at, width = place[columns[keep]], len(names_kept)
-    values = np.log1p(np.concatenate([r[1] for r in rows])[keep].astype(np.float64))
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])[keep]
-    del columns, keep
     weight = weight / weight.sum()
     reached = [(grade > k).astype(np.float64) for k in range(GRADES)]
 
-    def loss_gradient(w, theta):
-        z = np.bincount(of, values * w[at], minlength=len(rows)) if width else np.zeros(len(rows))
+    def row_slope(z, theta):
         # Grade probabilities are differences of the cumulative ones.
         upper = np.stack([np.ones(len(rows)), *(_sigmoid(z - t) for t in theta), np.zeros(len(rows))])
         p = np.maximum(upper[grade, np.arange(len(rows))] - upper[grade + 1, np.arange(len(rows))], 1e-12)
@@ -87,6 +78,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np
         here, above = slope[grade, np.arange(len(rows))], slope[grade + 1, np.arange(len(rows))]
         dz = -weight * (here - above) / p
         dtheta = np.array([(weight * ((grade == k + 1) * here - (grade == k) * above) / p).sum() for k in range(GRADES)])
+        return dz, dtheta
+
+    def loss_gradient(w, theta):
+        z = np.bincount(of, values * w[at], minlength=len(rows)) if width else np.zeros(len(rows))
+        dz, dtheta = row_slope(z, theta)
         return (np.bincount(at, values * dz[of], minlength=width) if width else np.zeros(0)), dtheta
 
     share = np.array([np.average(r, weights=weight) for r in reached]).clip(1e-4, 1 - 1e-4)
@@ -113,6 +109,31 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np
             w, theta, t = new_w, new_theta, new_t
         return w, theta
 
+    def entries(part):
+        counts = np.concatenate([rows[i][1] for i in part])
+        return np.concatenate([rows[i][0] for i in part]), np.log1p(counts.astype(np.float64)), np.repeat(part, [len(rows[i][0]) for i in part])
+
+    # What the start's slope does not call for stays out: sums over all entries, a few rows at a time.
+    at, values, of, width = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), 0
+    start = row_slope(np.zeros(len(rows)), theta)[0]
+    parts = np.array_split(np.arange(len(rows), dtype=np.int32), -(-len(rows) // ROWS_AT_ONCE))
+    seen, total, square, slope = (np.zeros(_SIZE) for _ in range(4))
+    for part in parts:
+        x, v, i = entries(part)
+        for sums, what in ((seen, None), (total, weight[i] * v), (square, weight[i] * v * v), (slope, v * start[i])):
+            sums += np.bincount(x, what, minlength=_SIZE)
+    spread = np.sqrt(np.maximum(square - total * total, 1e-9))
+    names_kept = np.flatnonzero((seen >= MIN_DOCUMENTS) & (np.abs(slope / spread) > PENALTY))
+    place = np.full(_SIZE, -1, np.int32)
+    place[names_kept] = np.arange(len(names_kept))
+    kept = []
+    for part in parts:
+        x, v, i = entries(part)
+        held = place[x] >= 0
+        kept.append((place[x[held]], v[held] / spread[x[held]], i[held]))
+    at, values, of = (np.concatenate(k) for k in zip(*kept, strict=True))
+    width, spread = len(names_kept), spread[names_kept]
+
     def narrow(chosen):
         nonlocal at, values, of, width, spread, names_kept
         new = np.full(width, -1)
@@ -121,11 +142,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np
         at, values, of, width = new[at[held]], values[held], of[held], len(chosen)
         spread, names_kept = spread[chosen], names_kept[chosen]
 
-    total = np.bincount(at, weight[of] * values, minlength=width)
-    spread = np.sqrt(np.maximum(np.bincount(at, weight[of] * values * values, minlength=width) - total * total, 1e-9))
-    values = values / spread[at]
-    # What the start's slope does not call for stays out; then what the penalty leaves at zero.
-    narrow(np.flatnonzero(np.abs(loss_gradient(np.zeros(width), theta)[0]) > PENALTY))
+    # Then what the penalty leaves at zero.
     w, theta = descend(np.zeros(width), theta, PENALTY, 0.0, STEPS)
     used = np.flatnonzero(w)
     narrow(used)
@@ -135,7 +152,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, weight: np
 
 def _grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
     """0 for rows that are not toxic, else the third by how many features speak for toxic, each by its log(1 + count)."""
-    number = lambda pick: np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(pick)]), minlength=_SIZE)
+
+    def number(pick):
+        sums = np.zeros(_SIZE, np.int64)
+        for i in np.flatnonzero(pick):
+            sums[rows[i][0]] += 1  # a row's features are distinct
+        return sums
+
     with_, without = number(toxic == 1), number(toxic == 0)
     odds = np.log((with_ + 0.5) / ((toxic == 1).sum() + 1)) - np.log((without + 0.5) / ((toxic == 0).sum() + 1))
     telling = (odds > np.log(8)) & (with_ >= MIN_DOCUMENTS)
@@ -162,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), *columns], names=["doc_id", "_y", "at", "counts"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", "text")
-    found = joined.mapInArrow(describe, "doc_id long, _y int, at binary, counts binary").dropDuplicates(["_y", "at", "counts"]).collect()
-    found = sorted((r.doc_id, r._y, bytes(r["at"]), bytes(r.counts)) for r in found)
+    found = joined.mapInArrow(describe, "doc_id long, _y int, at binary, counts binary").dropDuplicates(["_y", "at", "counts"])
+    found = sorted((r.doc_id, r._y, bytes(r["at"]), bytes(r.counts)) for r in found.toLocalIterator())
     toxic = np.array([r[1] for r in found], np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
