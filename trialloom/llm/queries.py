@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import bpe, chat_format, mixing, nearest, ngram_join, pii, quality_model, quality_rules, token_store, toxicity
+from trialloom.llm import (
+    bpe, chat_format, clusters, fill_middle, mixing, nearest, ngram_join, pii, quality_model, quality_rules, token_store, toxicity,
+    url_rules,
+)
 from trialloom.llm.common import ship
 from trialloom.staging import stage
 
@@ -71,6 +74,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("class_distance", "word_distance")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.restore(fill_middle.transform(_table(spark, sf_dir, "documents")))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"),
+    )
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(*clusters.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+#: Host, path and verdict of the query's rules.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS key,
@@ -175,6 +201,88 @@ LEFT JOIN far c ON c.doc_id = b.doc_id AND c.kind = 'class'
 LEFT JOIN far v ON v.doc_id = b.doc_id AND v.kind = 'word'
 """
 
+OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+  FROM documents),
+numbers AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+         array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+         array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _op12_sql() -> str:
+    """Starting centroids, three rounds of assignment and means, and the last assignment."""
+    steps = [
+        """
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+components AS (
+  SELECT row, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+c0 AS (
+  SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), v) - 1 AS c FROM kept) WHERE c < 16)"""
+    ]
+    for at in range(4):
+        steps.append(f"""
+a{at} AS (
+  SELECT row, min_by(c, far * 16 + c) AS c, min(far) AS far
+  FROM (SELECT row, c, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS far
+        FROM components p JOIN c{at} c USING (d) GROUP BY row, c) GROUP BY row)""")
+        if at < 3:
+            steps.append(f"""
+c{at + 1} AS (
+  SELECT o.c, o.d, coalesce(CAST(floor(m.total / m.n) AS BIGINT), o.x) AS x
+  FROM c{at} o LEFT JOIN (SELECT c, d, sum(x) AS total, count(*) AS n FROM components JOIN a{at} USING (row) GROUP BY c, d) m
+  USING (c, d))""")
+    return ",".join(steps) + """
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, a.far AS distance,
+       CAST(sum(a.far) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.far) OVER () AS BIGINT) AS inertia,
+       s.sha AS centroid_sha256
+FROM kept k JOIN a3 a USING (row)
+JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS sha FROM c3 GROUP BY c) s ON s.c = a.c
+"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = r"""
+WITH rules AS (
+  SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                        ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) r(rule_host, rule_path, verdict)),
+cut AS (
+  SELECT page_id, row_number() OVER () AS row, CASE WHEN contains(url, '://') THEN url[position('://' IN url) + 3:] ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, row,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+best AS (
+  SELECT row, arg_max({'rule': rule_host || rule_path, 'verdict': verdict}, length(rule_host || rule_path)) AS best
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY row)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (row)
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_nearest": op2_nearest,
@@ -186,5 +294,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_clusters": op12_clusters,
+    "op13_url_rules": op13_url_rules,
+}
+ORACLES = {
+    "op3_mixing": OP3_SQL,
+    "op10_quality_rules": OP10_SQL,
+    "op11_fill_middle": OP11_SQL,
+    "op12_clusters": OP12_SQL,
+    "op13_url_rules": OP13_SQL,
 }
-ORACLES = {"op3_mixing": OP3_SQL, "op10_quality_rules": OP10_SQL}
