@@ -69,16 +69,14 @@ def prepared(rules: DataFrame) -> DataFrame:
 
 def expressions(urls: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """``urls`` exploded into its expressions of the given (labels, path length)."""
-    host, path = F.col("host"), F.col("path")
-    fits = [
-        F.when(
-            (_labels(host) >= labels) & (F.length(path) >= length),
-            F.concat(F.substring_index(host, ".", -labels), F.left(path, F.lit(length))),
-        )
-        for labels, length in sizes
-    ]
-    each = F.explode(F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>"))
-    return urls.select("host", "path", each.alias("expression"))
+    if not sizes:
+        return urls.select("host", "path", F.lit("").alias("expression")).limit(0)
+    labels, length = (F.array(*[F.lit(pair[i]) for pair in sizes]) for i in (0, 1))
+    # One lambda over the list: the plan does not grow with the sizes.
+    fitting = F.filter(F.arrays_zip(labels.alias("labels"), length.alias("length")), lambda s: (s["labels"] <= F.col("_labels")) & (s["length"] <= F.col("_length")))
+    cut = F.transform(fitting, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.left(F.col("path"), s["length"])))
+    sized = urls.select("host", "path", _labels(F.col("host")).alias("_labels"), F.length("path").alias("_length"))
+    return sized.select("host", "path", F.explode(cut).alias("expression"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
