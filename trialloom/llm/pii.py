@@ -52,6 +52,8 @@ METHOD_KINDS = ("generalised", "removed")
 GENERALISE, REMOVE = 0.95, 0.99
 #: Up to so many terms (8 MB) are sent to the tasks that count or mark terms; beyond, every term is counted, and marks are joined to the texts.
 SENT_TERMS = 1_000_000
+#: Words whose hash a task remembers: some 20 MB.
+KNOWN_WORDS = 150_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -147,7 +149,7 @@ class _Terms(dict):
     """The hash of a word in any case, None for a function word; forgotten all at once when they are many."""
 
     def __missing__(self, word: str) -> int | None:
-        if len(self) > 500_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         low = word.lower()
         self[word] = term = None if low in FUNCTION_WORDS else _hash(low)
@@ -189,18 +191,39 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """term and df: in how many documents it stands outside spans; of the wanted terms, or of all."""
+    """term and df: in how many documents it stands outside spans; of the wanted terms (sorted), or of all.
+
+    Wanted terms are counted in one array over the whole task, of the wanted terms' size.
+    """
+
+    def counted(batch, known) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of each text of a batch, text after text, and how many rows have the text."""
+        found, sizes, weights = [], [], []
+        for text, n in Counter(t.as_py() or "" for t in batch.column("text")).items():
+            own = known.of(text, base_spans(text))
+            found.append(np.fromiter(own, np.int64, len(own)))
+            sizes.append(len(own))
+            weights.append(n)
+        return np.concatenate([np.empty(0, np.int64), *found]), np.repeat(np.array(weights, np.int64), sizes)
 
     def run(batches):
-        chosen = None if wanted is None else set(wanted.tolist())
         known = _Terms()
-        for batch in batches:
-            counts: dict[int, int] = {}
-            for text, n in Counter(t.as_py() or "" for t in batch.column("text")).items():
-                for term in known.of(text, base_spans(text)):
-                    if chosen is None or term in chosen:
-                        counts[term] = counts.get(term, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+        if wanted is None:
+            for batch in batches:
+                terms, n = counted(batch, known)
+                terms, at = np.unique(terms, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(at, n, len(terms)).astype(np.int64))], names=["term", "n"])
+            return
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches if len(wanted) else ():
+            terms, n = counted(batch, known)
+            at = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
+            met = wanted[at] == terms
+            np.add.at(total, at[met], n[met])
+        some = np.flatnonzero(total)
+        for low in range(0, len(some), 50_000):
+            part = some[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[part]), pa.array(total[part])], names=["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
