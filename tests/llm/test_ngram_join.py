@@ -58,6 +58,67 @@ def test_repeated_rows_null_ids_and_no_rows(documents):
     assert ngram_join.join(documents([])).count() == 0
 
 
+def brute_rows(rows):
+    """(id, set size, component) of every row, where rows with one id are one document; and the groups of rows by text alone."""
+    ids, sets = [d for d, _ in rows], [brute.shingle_set(t) for _, t in rows]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+
+    def groups(same):
+        label = list(range(len(rows)))
+        changing = True
+        while changing:
+            changing = False
+            for i in range(len(rows)):
+                for j in range(i):
+                    if label[i] != label[j] and same(i, j):
+                        low = min(label[i], label[j])
+                        label[i] = label[j] = low
+                        changing = True
+        return label
+
+    by_id = groups(lambda i, j: linked(sets[i], sets[j]) or ids[i] == ids[j])
+    by_text = groups(lambda i, j: linked(sets[i], sets[j]))
+    least = {c: min(d for d, x in zip(ids, by_id, strict=True) if x == c) for c in by_id}
+    return sorted((d, len(s), least[c]) for d, s, c in zip(ids, sets, by_id, strict=True)), by_text
+
+
+def test_an_id_with_two_texts_loses_no_link(documents):
+    draw = random.Random(5)
+    a, b = text(draw, 60), text(draw, 60)
+    rows = [(5, a), (5, b), (7, a + " more"), (3, b + " more")]
+    found = ngram_join.join(documents(rows)).collect()
+    assert {r.component_id for r in found} == {3}
+    # The two texts are not near each other: one of each pair stays.
+    kept = {(r.doc_id, r.text) for r in ngram_join.representatives(documents(rows)).collect()}
+    assert kept == {(5, a), (3, b + " more")}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_corpora_with_repeated_ids(documents, seed):
+    draw = random.Random(seed)
+    origins = [text(draw, draw.choice([3, 8, 40])) for _ in range(6)]
+    rows = []
+    for _ in range(90):
+        t = draw.choice([*origins, "", None, text(draw, 20)])
+        rows.append((draw.randrange(40), changed(draw, t, draw.choice([0, 0.01, 0.03])) if t else t))
+    want, by_text = brute_rows(rows)
+    found = ngram_join.join(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+    kept = [(r.doc_id, r.text) for r in ngram_join.representatives(documents(rows)).collect()]
+    with_words = [r for r in kept if brute.shingle_set(r[1])]
+    sets = {}
+    for (d, t), c in zip(rows, by_text, strict=True):
+        if brute.shingle_set(t):
+            sets.setdefault(c, []).append((d, brute.shingle_set(t)))
+    # One row of each group, with its smallest id and a text that this id has in the group.
+    assert len(with_words) == len(sets)
+    left = {c: {(d, s) for d, s in members if d == min(x for x, _ in members)} for c, members in sets.items()}
+    for d, t in with_words:
+        assert sum((d, brute.shingle_set(t)) in options for options in left.values()) == 1
+    blank = {d for d, t in rows if not brute.shingle_set(t)}
+    assert sorted(d for d, t in kept if not brute.shingle_set(t)) == sorted(blank)
+
+
 def test_components_of_a_chain_and_a_star(shipped):
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(100, 100 + i) for i in range(1, 30)]

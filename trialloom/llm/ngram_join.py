@@ -24,17 +24,20 @@ of thousands of copies costs about its number of rows, and no link is lost.
 
 Defined cases: a null, empty or blank text has no set, links with nothing and is
 its own component; a text with fewer words than a shingle is one shingle; texts
-of any length are whole; rows that repeat an id are one node; rows with a null id
-get a null component; extra columns are ignored; an empty table gives an empty
-result.
+of any length are whole; rows with a null id get a null component; extra columns
+are ignored; an empty table gives an empty result. Classes and their links know no
+ids: a row that repeats an id with another text has the set, the links and the copies
+of its own text. Only the components of ids join what one id holds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialloom.llm.common import digest, hash_words, mix, shingles
 from trialloom.staging import stage
@@ -97,9 +100,10 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n and digest of every row; bitmap and prefix of the first row of each set in a task.
+    """doc_id, n and digest of every row; node, bitmap and prefix of the first row of each set in a task.
 
     So copies carry nothing on, and a group of them is at most one row for each task.
+    A node is the number of the task and of the row in it, so it means one set only.
     """
     by_value = np.argsort(frequent)
     ordered = frequent[by_value]
@@ -118,24 +122,27 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches):
         seen: set[bytes] = set()
+        node = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, names, bitmaps, prefixes = [], [], [], []
+            n, names, nodes, bitmaps, prefixes = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 values = text_set(text.as_py())
                 name = digest(values)
                 first = len(values) > 0 and doc_id is not None and name not in seen
                 if first:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(name)
+                node += 1
                 n.append(len(values))
                 names.append(name)
+                nodes.append(node if first else None)
                 bitmaps.append(_bitmap(values).tobytes() if first else None)
                 prefixes.append(prefix(values).view(np.int64) if first else None)
-            columns = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "digest", "bitmap", "prefix"])
+            columns = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(nodes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "digest", "node", "bitmap", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bitmap binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, node long, bitmap binary, prefix array<long>")
 
 
 def _branches(batches):
@@ -360,17 +367,32 @@ def candidates(branches: DataFrame, nodes: DataFrame, forest: bool) -> tuple[Dat
     return pairs, first.filter(F.col("kind") == OPEN).select("branch")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose exact sets reach the threshold."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-ids")
-    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def confirm(pairs: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose exact sets reach the threshold. ``carriers`` has doc_id, digest and node of every node."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = stage(ids.join(carriers.select("node", "doc_id", "digest"), "node"), "join-ids")
+    picked = ids.select("doc_id").distinct()
+    picked = F.broadcast(picked) if ids.count() <= BROADCAST_IDS else picked
 
     def sets(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([text_set(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["node", "set"])
+            names, found = [], []
+            for text in batch.column("text"):
+                values = text_set(text.as_py())
+                name = digest(values)
+                if name not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(name)
+                    names.append(name)
+                    found.append(values.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.binary())], names=["digest", "set"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(picked, "node", "left_semi")
-    known = stage(texts.mapInArrow(sets, "node long, set binary"), "join-sets")
+    # An id may hold other texts too; a set may stand in several tasks. One row of each set goes on.
+    texts = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").select("text")
+    one = texts.mapInArrow(sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
+    known = stage(one.join(ids.select("digest", "node"), "digest").select("node", "set"), "join-sets")
 
     def check(batches):
         for batch in batches:
@@ -415,45 +437,91 @@ def components(links: DataFrame) -> DataFrame:
     return own.unionByName(own.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every row."""
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, classes, links): the rows' sets, each set's node and component by links between sets, and the links."""
     base = stage(describe(docs, frequent_tokens(docs)), "join-base")
-    # A class is known by the smallest of the ids that carry its prefix.
-    named = base.filter("n > 0 and doc_id is not null").select("digest", "doc_id", F.when(F.col("prefix").isNotNull(), F.col("doc_id")).alias("_carrier"))
-    classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("_carrier").alias("node")), "join-classes")
+    # A class is known by the smallest of the nodes that carry its prefix.
+    named = base.filter("n > 0 and doc_id is not null")
+    classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node")), "join-classes")
     carriers = base.filter("prefix is not null")
-    tokens = carriers.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"), "n").repartition("token").sortWithinPartitions("token", "node")
+    tokens = carriers.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
     held = tokens.mapInArrow(_branches, "branch long, node long, n long").distinct()
-    known = carriers.select(F.col("doc_id").alias("_carrier"), "digest").join(classes.select("digest", "node"), "digest").drop("digest")
+    known = carriers.select(F.col("node").alias("_carrier"), "digest").join(classes.select("digest", "node"), "digest").drop("digest")
     branches = held.withColumnRenamed("node", "_carrier").join(known, "_carrier").select("branch", "node", "n").distinct()
     branches = stage(branches, "join-branches")
-    # Of rows with one id one bitmap stays: the id is one node.
-    flat = carriers.select(F.col("doc_id").alias("node"), "bitmap").groupBy("node").agg(F.max("bitmap").alias("bitmap"))
+    flat = carriers.select("node", "bitmap")
 
     pairs, more = candidates(branches.withColumn("comp", F.col("node")), flat, True)
     pairs = stage(pairs, "join-pairs")
-    links = confirm(pairs, docs)
+    links = confirm(pairs, carriers, docs)
     comps = stage(components(links), "join-comps")
 
     unfinished = branches.join(more.distinct(), "branch", "left_semi")
     labelled = unfinished.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = labelled.groupBy("branch").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("branch")
     rest, _ = candidates(labelled.join(open_, "branch", "left_semi"), flat, False)
-    added = confirm(stage(rest.join(pairs, ["a", "b"], "left_anti"), "join-pairs"), docs)
-    comps = components(links.unionByName(added))
+    added = confirm(stage(rest.join(pairs, ["a", "b"], "left_anti"), "join-pairs"), carriers, docs)
+    links = links.unionByName(added)
+    grouped = classes.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return base, stage(grouped, "join-classes"), links
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every row.
+
+    A document is an id: rows that repeat one with different texts connect what their texts link to.
+    """
+    docs = docs.select("doc_id", "text")
+    base, classes, links = _classes(docs)
+    placed = base.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    # Ids with rows of different texts: as a rule there are none.
+    held = placed.filter("doc_id is not null").groupBy("doc_id")
+    several = held.agg(F.min("comp").alias("a"), F.max("comp").alias("_most"), (F.min("n") == 0).alias("_blank")).filter("a < _most or (_blank and a is not null)")
+    several = stage(several, "join-several")
+    repeated = not several.isEmpty()
+    if repeated:
+        tied = placed.filter("n > 0").join(several, "doc_id").select("a", F.col("comp").alias("b")).filter("a <> b").distinct()
+        merged = components(tied).select(F.col("node").alias("comp"), F.col("comp").alias("_merged"))
+        classes = classes.join(merged, "comp", "left").withColumn("comp", F.coalesce("_merged", "comp")).drop("_merged")
 
     # A component's name is the smallest id of any of its rows.
-    grouped = stage(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "join-classes")
-    least = grouped.groupBy("comp").agg(F.min("class_id").alias("_least"))
-    grouped = grouped.join(least, "comp").select("digest", "class_id", "_least")
-    placed = base.select("doc_id", "n", "digest").join(grouped, "digest", "left")
+    least = classes.groupBy("comp").agg(F.min("class_id").alias("_least"))
+    named = classes.join(least, "comp").select("digest", "class_id", F.col("_least").alias("component_id"))
+    placed = base.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col(c)), "doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), own("class_id").alias("class_id"), own("_least").alias("component_id"))
+    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id"))
+    if not repeated:
+        return placed
+    # A row without words goes with the rows of its id that have some.
+    other = placed.filter("n_shingles > 0").join(several.filter("_blank").select("doc_id"), "doc_id", "left_semi")
+    other = other.groupBy("doc_id").agg(F.min("component_id").alias("_other"))
+    return placed.join(other, "doc_id", "left").withColumn("component_id", F.coalesce("_other", "component_id")).drop("_other")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id; of rows with one id, one stays."""
-    kept = join(docs).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept.filter("doc_id is not null"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each group of near duplicates: that with the smallest id.
+
+    A text counts for itself here: a row whose id is repeated goes only if its own text is
+    a near duplicate. Rows with a null id stay; of rows without words one of each id stays.
+    """
+    base, classes, _ = _classes(docs.select("doc_id", "text"))
+    rows = base.filter("doc_id is not null").select("doc_id", "n", "digest")
+    placed = rows.filter("n > 0").join(classes.select("digest", "comp"), "digest")
+    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("kept")).select("kept.*")
+    kept = stage(first.unionByName(rows.filter("n = 0").select("doc_id", "digest").distinct()), "join-kept")
+    repeated = stage(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"), "join-repeated")
+
+    named = docs.filter("doc_id is not null").join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    single = named.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+
+    def tell(batches):
+        for batch in batches:
+            names = pa.array([digest(text_set(t.as_py())) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, digest_name])
+
+    digest_name = "_join_digest"
+    told = named.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    told = told.mapInArrow(tell, T.StructType([*docs.schema.fields, T.StructField(digest_name, T.BinaryType())]))
+    wanted = kept.select("doc_id", F.col("digest").alias(digest_name))
+    several = told.join(wanted, ["doc_id", digest_name], "left_semi").dropDuplicates(["doc_id", digest_name]).select(*docs.columns)
+    return single.unionByName(several).unionByName(docs.filter("doc_id is null"))
