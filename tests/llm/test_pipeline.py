@@ -62,7 +62,7 @@ def test_pipeline_stage_by_stage(documents, shipped, tmp_path):
         assert r.text == (pii.redact(given, spans) if spans else given) and "@" not in (r.text or "")
         assert r.n_chars == len(r.text or "")
 
-    taken = mix_by_hand([(r.doc_id, r.text, r.lang, r.source) for r in clean])
+    taken = dict(zip((r.doc_id for r in clean), mix_by_hand([(r.doc_id, r.text, r.lang, r.source) for r in clean]), strict=True))
     count = Counter(r.doc_id for r in mixed)
     assert {d: n * taken[d][0] for d, n in count.items()} == {d: v[3] for d, v in taken.items() if v[3]}
 

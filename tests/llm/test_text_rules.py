@@ -1,7 +1,7 @@
 """Personal data, quality rules and mixing on hand-made rows."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,10 +105,15 @@ def test_quality_rules_stay_native(documents):
 
 
 def mix_by_hand(rows):
-    """Replays the queue one document at a time."""
+    """Replays the queue one document at a time: (size, source_size, target, taken) of each row, in the order of the rows."""
     import hashlib
 
-    sizes = [(d, s, len((t or "").split())) for d, t, _, s in rows]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sizes, met = [], Counter()
+    for d, t, _, s in rows:
+        base = md5(f"{'null' if d is None else d}:{md5(t or '')}")
+        number, met[s, base] = met[s, base], met[s, base] + 1
+        sizes.append((md5(f"{base}:{number}") if number else base, s, len((t or "").split())))
     per = defaultdict(int)
     for _, s, n in sizes:
         per[s] += n
@@ -126,34 +131,68 @@ def mix_by_hand(rows):
         left -= sum(3 * per[s] for s in full)
     queue = []
     for s in order:
-        mine = sorted((hashlib.md5(str(d).encode()).hexdigest(), d, n) for d, x, n in sizes if x == s and n)
+        mine = sorted((key, i, n) for i, (key, x, n) in enumerate(sizes) if x == s and n)
         for r in range(3):
             upto = 0
-            for key, d, n in mine:
+            for key, i, n in mine:
                 upto += n
-                queue.append(((upto + r * per[s]) / target[s], key, (s is None, s or ""), r, d, n))
+                queue.append(((upto + r * per[s]) / target[s], key, (s is None, s or ""), r, i, n))
     taken, total = defaultdict(int), 0
-    for *_, d, n in sorted(queue):
+    for *_, i, n in sorted(queue):
         total += n
         if total > sum(per.values()):
             break
-        taken[d] += n
-    return {d: (n, per[s], target[s], taken[d]) for d, s, n in sizes}
+        taken[i] += n
+    return [(n, per[s], target[s], taken[i]) for i, (_, s, n) in enumerate(sizes)]
+
+
+def compared(rows, found):
+    """The mix of ``rows`` as counted rows, by hand and as found; targets to nine digits."""
+    line = lambda d, v: (d, v[0], v[1], f"{v[2]:.9g}", v[3])
+    want = Counter(line(r[0], v) for r, v in zip(rows, mix_by_hand(rows), strict=True))
+    return want, Counter(line(r.doc_id, (r.size, r.source_size, r.target, r.taken)) for r in found)
 
 
 def test_mixing_replays_the_queue(documents):
     draw = random.Random(8)
     rows = [(i, "w " * draw.randrange(0, 40), "en", draw.choice(["a", "b", "b", "b", "c", "é", None])) for i in range(300)]
     rows += [(400, None, "en", "empty"), (401, "", "en", "empty"), (402, "x y", "en", "a")]
-    found = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mixing.mix(documents(rows)).collect()}
-    want = mix_by_hand(rows)
-    assert {d: (*v[:2], v[3]) for d, v in found.items()} == {d: (*v[:2], v[3]) for d, v in want.items()}
-    assert all(found[d][2] == pytest.approx(want[d][2]) for d in want)
-    assert all(v[3] <= 3 * v[0] for v in found.values())
+    found = mixing.mix(documents(rows)).collect()
+    want, got = compared(rows, found)
+    assert got == want and all(r.taken <= 3 * r.size for r in found)
     out = mixing.mixed(documents(rows))
     assert out.columns == documents(rows).columns
     words = out.select(F.sum(mixing.document_size(F.col("text")))).first()[0]
-    assert words == sum(v[3] for v in found.values())
+    assert words == sum(r.taken for r in found)
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_mixing_of_null_and_repeated_ids(documents, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    draw = random.Random(9)
+    # A third without an id, a third one and the same row, ids with several texts, one id in two sources.
+    rows = [(None, "n " * draw.randrange(1, 30), "en", "a") for _ in range(100)]
+    rows += [(7, "same row of words", "en", draw.choice(["a", "b"])) for _ in range(100)]
+    rows += [(draw.randrange(30), "t " * draw.randrange(1, 30), "en", draw.choice(["a", "b", "c", None])) for _ in range(100)]
+    found = mixing.mix(documents(rows).repartition(5)).collect()
+    want, got = compared(rows, found)
+    assert got == want
+    for source in ("a", "b", "c", None):
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 30
+
+
+def test_mixed_leaves_every_column_as_it_is(shipped):
+    draw = random.Random(10)
+    names = "doc_id long, text string, source string, size double, target string, served int, taken long, source_size long, key string, round int, _copy int, _key string, _place int"
+    rows = [(i, "w " * draw.randrange(1, 9), "ab"[i % 2], 7.5, "t", -1, -2, -3, "k", 11, 12, "x", 13) for i in range(60)]
+    docs = shipped.createDataFrame(rows, names)
+    out = mixing.mixed(docs)
+    assert out.schema == docs.schema
+    got = out.collect()
+    assert {tuple(r) for r in got} <= set(rows) and len(got) >= 40
+    mixed = mixing.mix(docs)
+    assert sorted(c for c in mixed.columns) == sorted(docs.columns) and mixed.filter("served > 0").count() == len({r.doc_id for r in got})
 
 
 def test_mixing_edges(documents):

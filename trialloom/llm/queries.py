@@ -98,10 +98,15 @@ def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS key,
+WITH keyed AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS base,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source, base) - 1 AS number FROM keyed),
+sized AS (
+  SELECT doc_id, source, size, CASE WHEN number = 0 THEN base ELSE md5(base || ':' || number) END AS key,
+         row_number() OVER () AS row FROM numbered),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -130,10 +135,10 @@ queue AS (
            ROWS UNBOUNDED PRECEDING) AS total
   FROM flows),
 served AS (
-  SELECT doc_id, count(*) AS served FROM queue WHERE total <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+  SELECT row, count(*) AS served FROM queue WHERE total <= (SELECT sum(size) FROM sized) GROUP BY row)
 SELECT s.doc_id, s.size, t.source_size, t.target, s.size * coalesce(v.served, 0) AS taken, s.source,
        coalesce(v.served, 0) AS served
-FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN served v USING (doc_id)
+FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN served v USING (row)
 """
 
 OP10_SQL = r"""
