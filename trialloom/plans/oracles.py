@@ -517,7 +517,10 @@ def oracle_sql() -> dict[str, str]:
     }
     sql["insight_rows"] = insight_items(sql)
     sql["insight_document"] = insight_lines(sql)
-    return sql | later_oracles()
+    sql |= later_oracles()
+    # The stored registry must hold what the import into a registry in memory gives.
+    sql |= {f"merge_{part}": sql[f"reimport_{part}"] for part in ("trials", "children", "reviews", "snapshots")}
+    return sql
 
 
 # --- vocabularies, access batches, import ---------------------------------------------

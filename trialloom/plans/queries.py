@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import parsing, text
 from ..operators import access, insights, lookups, reports, sponsor_condition, views, vocabulary
 from ..sinks import outputs, snapshots
-from ..sources.registry import id_vocabulary, new_registry, roles, seed_missing
+from ..sources.registry import Registry, id_vocabulary, new_registry, roles, seed_missing
 from ..staging import stage, staging_root
 from .given_tables import AS_OF, GivenTables
 from .ingest import IngestOptions, IngestResult, ingest_trials
 from .insight_dataset import insight_document as build_document
 from .insight_dataset import insight_rows as build_rows
 from .insight_dataset import insight_tables
+from .store import create_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,20 +524,28 @@ def reimported(t: GivenTables, first_status: str) -> IngestResult:
     return result
 
 
+def merged(t: GivenTables, first_status: str) -> Registry:
+    """The same two imports into a stored registry, of which the second writes what it touches."""
+    store = create_store(t.spark, f"{staging_root(t.spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    for statuses, options in (
+        (("F", "P"), IngestOptions("GIVEN", EARLIER, first_status)),
+        (("F", "O", "P"), IngestOptions("GIVEN", BATCH)),
+    ):
+        path = f"{staging_root(t.spark)}/documents-{uuid.uuid4().hex}"
+        t.trial_elements(statuses).write.text(path)
+        store.merge(path, options)
+    return store.registry()
+
+
 STAMPS = ("created_at", "updated_at", "approved_at", "published_at")
 
 
-@query
-def reimport_trials(t: GivenTables) -> DataFrame:
-    """Updated and new trials; the first approval and creation are kept."""
-    trial = reimported(t, "approved").registry["trial"]
+def imported_trials(registry: Registry) -> DataFrame:
+    trial = registry["trial"]
     return as_text(trial.select("trial_id", "status", "public_title", "date_registration", *STAMPS), "date_registration", *STAMPS)
 
 
-@query
-def reimport_children(t: GivenTables) -> DataFrame:
-    """Rows of child tables: replaced, not added to."""
-    registry = reimported(t, "approved").registry
+def imported_children(registry: Registry) -> DataFrame:
     country = registry["trial_country"].select(F.lit("trial_country").alias("table_name"), "trial_id", F.col("country_code").alias("content"))
     outcome = registry["trial_outcome"].select(
         F.lit("trial_outcome").alias("table_name"), "trial_id", F.concat_ws("/", "outcome_type", "sort_order", "description").alias("content")
@@ -545,20 +554,59 @@ def reimport_children(t: GivenTables) -> DataFrame:
     return country.unionByName(outcome).join(trial, "trial_id").select("table_name", "registry_id", "content")
 
 
-@query
-def reimport_reviews(t: GivenTables) -> DataFrame:
-    """The review history grows with every import of a trial."""
-    registry = reimported(t, "approved").registry
+def imported_reviews(registry: Registry) -> DataFrame:
     trial = registry["trial"].select(F.col("id").alias("trial_id"), F.col("trial_id").alias("registry_id"))
     history = registry["trial_review"].join(trial, "trial_id")
     return as_text(history.groupBy("registry_id", "review_status", "created_at").agg(F.count(F.lit(1)).alias("n")), "created_at")
 
 
+def imported_snapshots(registry: Registry) -> DataFrame:
+    snapshots_ = registry["trial_public_snapshot"]
+    return as_text(snapshots_.groupBy("public_trial_id", "generated_at", "is_current").agg(F.count(F.lit(1)).alias("n")), "generated_at")
+
+
+@query
+def reimport_trials(t: GivenTables) -> DataFrame:
+    """Updated and new trials; the first approval and creation are kept."""
+    return imported_trials(reimported(t, "approved").registry)
+
+
+@query
+def reimport_children(t: GivenTables) -> DataFrame:
+    """Rows of child tables: replaced, not added to."""
+    return imported_children(reimported(t, "approved").registry)
+
+
+@query
+def reimport_reviews(t: GivenTables) -> DataFrame:
+    """The review history grows with every import of a trial."""
+    return imported_reviews(reimported(t, "approved").registry)
+
+
 @query
 def reimport_snapshots(t: GivenTables) -> DataFrame:
     """Stored snapshots are superseded by later ones."""
-    snapshots_ = reimported(t, "published").registry["trial_public_snapshot"]
-    return as_text(snapshots_.groupBy("public_trial_id", "generated_at", "is_current").agg(F.count(F.lit(1)).alias("n")), "generated_at")
+    return imported_snapshots(reimported(t, "published").registry)
+
+
+@query
+def merge_trials(t: GivenTables) -> DataFrame:
+    return imported_trials(merged(t, "approved"))
+
+
+@query
+def merge_children(t: GivenTables) -> DataFrame:
+    return imported_children(merged(t, "approved"))
+
+
+@query
+def merge_reviews(t: GivenTables) -> DataFrame:
+    return imported_reviews(merged(t, "approved"))
+
+
+@query
+def merge_snapshots(t: GivenTables) -> DataFrame:
+    return imported_snapshots(merged(t, "published"))
 
 
 # --- outputs ------------------------------------------------------------------------------------
