@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     ship(spark)
-    done = bpe.decode(bpe.encode(docs))
+    done = bpe.encode(docs, decoded=True)
     n = (F.length("ids") / 4).cast("long").alias("n_tokens")
     return done.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from trialloom.llm.common import hand_back, tidy
+
 #: Characters of text after which a block is closed.
 BLOCK_CHARS = 32_000_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -196,16 +198,35 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(parts) if parts else _IDS.empty_table()
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of every text."""
+def encode(docs: DataFrame, ranks_path: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of every text.
+
+    With ``decoded`` the column of ``decode`` comes along, made where the ids are put
+    together: one Python worker for each task in place of two.
+    """
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = "block long, docs array<long>, lengths binary, sequence binary, words binary"
     # Both uses of the blocks take the whole rows of this one exchange, so Spark runs it once.
-    blocks = docs.select("doc_id", "text").mapInArrow(_split, packed).repartition(partitions, "block")
-    words = blocks.mapInArrow(_words, "word binary, block long, place int").repartition("word").sortWithinPartitions("word")
-    codes = words.mapInArrow(_encode(ranks_path), "block long, codes binary")
-    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
+    blocks = docs.select("doc_id", "text").mapInArrow(tidy(_split), packed).repartition(partitions, "block")
+    words = blocks.mapInArrow(tidy(_words), "word binary, block long, place int").repartition("word").sortWithinPartitions("word")
+    codes = words.mapInArrow(tidy(_encode(ranks_path)), "block long, codes binary")
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = _reassemble(left, right)
+        if decoded:
+            texts = [pa.array(_decoded(chunk, ranks_path), pa.binary()) for chunk in table.column("ids").chunks]
+            table = table.append_column("decoded", pa.chunked_array(texts, pa.binary()))
+        hand_back()
+        return table
+
+    schema = "doc_id long, ids binary" + ", decoded binary" * decoded
+    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(together, schema)
+
+
+def _decoded(ids: pa.Array, ranks_path: str) -> list[bytes]:
+    flat, offset, size = token_bytes(ranks_path)
+    return [_gather(flat, offset, size, np.frombuffer(x.as_py() or b"", "<u4"))[0].tobytes() for x in ids]
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -213,11 +234,9 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
 
     def run(batches):
-        flat, offset, size = token_bytes(ranks_path)
         for batch in batches:
-            ids = (np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column("ids"))
-            texts = [_gather(flat, offset, size, x)[0].tobytes() for x in ids]
+            texts = _decoded(batch.column("ids"), ranks_path)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))
+    return kept.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,30 @@ def ship(spark: SparkSession) -> None:
         context._trialloom_shipped = True
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over the batches of a task, whose memory then goes back to the system.
+
+    Python workers outlive their tasks, and what one task took would stand beside the
+    next one's in the memory of the executor.
+    """
+
+    def tidied(batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return tidied
+
+
+def hand_back() -> None:
+    """Give free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialloom.llm.common import digest, hash_words, mix, shingles
+from trialloom.llm.common import digest, hash_words, mix, shingles, tidy
 from trialloom.staging import stage
 
 WIDTH = 5
@@ -94,7 +94,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
         if held:
             yield counted()
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.col("n").desc(), "token").limit(FREQUENT_KEPT).collect()
     return np.array([r.token for r in reversed(rows)], np.int64).view(np.uint64)
 
@@ -142,7 +142,7 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             columns = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(nodes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "digest", "node", "bitmap", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, node long, bitmap binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, digest binary, node long, bitmap binary, prefix array<long>")
 
 
 def _branches(batches):
@@ -356,13 +356,13 @@ def candidates(branches: DataFrame, nodes: DataFrame, forest: bool) -> tuple[Dat
     """
     rows = branches.join(nodes.select("node", "bitmap"), "node").select("branch", "node", "n", "comp", "bitmap")
     rows = rows.repartition("branch").sortWithinPartitions("branch", "n", "node")
-    first = stage(rows.mapInArrow(_leaves(forest), _LEAF_FIELDS), "join-leaves")
+    first = stage(rows.mapInArrow(tidy(_leaves(forest)), _LEAF_FIELDS), "join-leaves")
     large = first.filter(F.col("kind") == LEAF_ROW).drop("a", "b", "kind")
     other = large.select(F.col("branch"), *[F.col(c).alias(f"{c}2") for c in large.columns if c != "branch"])
     # Leaves lie in the order of size: a later one is at most too large.
     fit = (F.col("leaf") <= F.col("leaf2")) & (100 * F.col("high") >= THRESHOLD * F.col("low2"))
     met = large.join(other, "branch").filter(fit).select("leaf", "leaf2", *[f"{k}{s}" for s in ("", "2") for k in ("node", "n", "comp", "bits")])
-    across = met.mapInArrow(_leaf_pairs(forest), "a long, b long")
+    across = met.mapInArrow(tidy(_leaf_pairs(forest)), "a long, b long")
     pairs = first.filter(F.col("kind") == PAIR).select("a", "b").unionByName(across).distinct()
     return pairs, first.filter(F.col("kind") == OPEN).select("branch")
 
@@ -391,7 +391,7 @@ def confirm(pairs: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame
 
     # An id may hold other texts too; a set may stand in several tasks. One row of each set goes on.
     texts = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").select("text")
-    one = texts.mapInArrow(sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
+    one = texts.mapInArrow(tidy(sets), "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
     known = stage(one.join(ids.select("digest", "node"), "digest").select("node", "set"), "join-sets")
 
     def check(batches):
@@ -406,7 +406,7 @@ def confirm(pairs: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     left, right = (known.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
-    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "join-links")
+    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(check), "a long, b long"), "join-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node")), "join-classes")
     carriers = base.filter("prefix is not null")
     tokens = carriers.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
-    held = tokens.mapInArrow(_branches, "branch long, node long, n long").distinct()
+    held = tokens.mapInArrow(tidy(_branches), "branch long, node long, n long").distinct()
     known = carriers.select(F.col("node").alias("_carrier"), "digest").join(classes.select("digest", "node"), "digest").drop("digest")
     branches = held.withColumnRenamed("node", "_carrier").join(known, "_carrier").select("branch", "node", "n").distinct()
     branches = stage(branches, "join-branches")
@@ -521,7 +521,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     digest_name = "_join_digest"
     told = named.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    told = told.mapInArrow(tell, T.StructType([*docs.schema.fields, T.StructField(digest_name, T.BinaryType())]))
+    told = told.mapInArrow(tidy(tell), T.StructType([*docs.schema.fields, T.StructField(digest_name, T.BinaryType())]))
     wanted = kept.select("doc_id", F.col("digest").alias(digest_name))
     several = told.join(wanted, ["doc_id", digest_name], "left_semi").dropDuplicates(["doc_id", digest_name]).select(*docs.columns)
     return single.unionByName(several).unionByName(docs.filter("doc_id is null"))

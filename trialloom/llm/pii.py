@@ -44,6 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialloom.llm.common import tidy
 from trialloom.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -187,7 +188,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                     row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    return docs.select("text").mapInArrow(run, _HELD)
+    return docs.select("text").mapInArrow(tidy(run), _HELD)
 
 
 def term_frequencies(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
@@ -225,7 +226,7 @@ def term_frequencies(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
             part = some[low : low + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(wanted[part]), pa.array(total[part])], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return docs.select("text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def _sent(terms: DataFrame, *columns: str) -> list[np.ndarray] | None:
@@ -283,7 +284,7 @@ def _marked(docs: DataFrame, run, schema) -> DataFrame:
                     terms.extend(own)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.int64())], names=["_key", "term"])
 
-        told = keyed.select("_key", "text").mapInArrow(hold, "_key long, term long").distinct().join(found, "term")
+        told = keyed.select("_key", "text").mapInArrow(tidy(hold), "_key long, term long").distinct().join(found, "term")
         told = told.groupBy("_key").agg(F.collect_list(F.struct("term", "level")).alias("_told"))
         docs = keyed.join(told, "_key", "left").drop("_key")
 
@@ -308,7 +309,7 @@ def _marked(docs: DataFrame, run, schema) -> DataFrame:
                 spans.append((base, sorted(more)))
             yield run(batch, spans)
 
-    return docs.mapInArrow(mark, schema)
+    return docs.mapInArrow(tidy(mark), schema)
 
 
 def detect(docs: DataFrame) -> DataFrame:

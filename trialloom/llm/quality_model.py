@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import hash_spans, mix
+from trialloom.llm.common import hash_spans, mix, tidy
 
 SAMPLE = 1_200
 PASSAGES, PASSAGE_WORDS = 64, 40
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             found = [passage_features(t.as_py() or "").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(found, pa.binary())], names=["doc_id", "_y", "bag"])
 
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", "text").mapInArrow(describe, "doc_id long, _y int, bag binary")
+    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", "text").mapInArrow(tidy(describe), "doc_id long, _y int, bag binary")
     found = sorted((r.doc_id, r._y, bytes(r.bag)) for r in bags.collect())
     y = np.array([r[1] for r in found], np.float64)
     if len(set(y)) < 2:
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     kept = docs.drop("score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(tidy(run), f"{fields}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
