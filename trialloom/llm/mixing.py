@@ -117,6 +117,8 @@ def _mix(docs: DataFrame, weights, max_repeats: int) -> DataFrame:
     targets = stage(source_targets(equal.select("source", (F.col("size") * F.col("_n")).alias("size")), weights, max_repeats), "mix-targets")
     cuts = stage(_cuts(_entries(equal.filter("size > 0")), targets, max_repeats), "mix-cuts")
     about = targets.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_s")
+    # Spark knows a written table's size, not a join's: the texts need no shuffle where the sources are few.
+    about = stage(about, "mix-sources")
 
     # Which of equal rows is which: as a rule there are none.
     repeated = equal.filter("_n > 1 and size > 0").select(F.col("source").alias("_r"), F.col("_key").alias("_k"))
