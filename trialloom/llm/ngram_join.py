@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -367,6 +368,10 @@ def candidates(branches: DataFrame, nodes: DataFrame, forest: bool) -> tuple[Dat
     return pairs, first.filter(F.col("kind") == OPEN).select("branch")
 
 
+def _unpacked(text: bytes) -> np.ndarray:
+    return text_set(zstandard.decompress(text).decode())
+
+
 def confirm(pairs: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose exact sets reach the threshold. ``carriers`` has doc_id, digest and node of every node."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -386,27 +391,30 @@ def confirm(pairs: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame
                         seen.clear()
                     seen.add(name)
                     names.append(name)
-                    found.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.binary())], names=["digest", "set"])
+                    found.append(zstandard.compress((text.as_py() or "").encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.binary())], names=["digest", "packed"])
 
-    # An id may hold other texts too; a set may stand in several tasks. One row of each set goes on.
+    # An id may hold other texts too; a set may stand in several tasks. One row of each set goes on, as
+    # compressed text: hashes do not compress, and would be three to four times as much to shuffle.
     texts = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").select("text")
-    one = texts.mapInArrow(tidy(sets), "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
-    known = stage(one.join(ids.select("digest", "node"), "digest").select("node", "set"), "join-sets")
+    one = texts.mapInArrow(tidy(sets), "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
+    known = stage(one.join(ids.select("digest", "node"), "digest").select("node", "packed"), "join-sets")
 
     def check(batches):
         for batch in batches:
             a, b, left, right = batch.columns
-            ok = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            ok, last, y = [], None, None
+            for x, packed in zip(left, right, strict=True):
+                x, packed = _unpacked(x.as_py()), packed.as_py()
+                if packed != last:  # the rows lie in the order of b
+                    last, y = packed, _unpacked(packed)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    left, right = (known.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
-    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(check), "a long, b long"), "join-links")
+    left, right = (known.select(F.col("node").alias(k), F.col("packed").alias(f"text_{k}")) for k in ("a", "b"))
+    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a long, b long"), "join-links")
 
 
 def components(links: DataFrame) -> DataFrame:
