@@ -40,6 +40,61 @@ def test_first_claims_is_the_sequential_rule(spark, seed):
     assert sorted(r.position for r in access.first_claims(df, ["u", "m"]).collect()) == expected
 
 
+def one_by_one(rows):
+    held, winners = set(), []
+    for position, *values in sorted(rows):
+        claims = {(i, v) for i, v in enumerate(values) if v is not None}
+        if claims and not claims & held:
+            held |= claims
+            winners.append(position)
+    return winners
+
+
+def claimed(spark, rows):
+    names = ["u", "m", "r"][: len(rows[0]) - 1]
+    table = {"position": pa.array([r[0] for r in rows], pa.int64())}
+    table |= {n: pa.array([r[i + 1] for r in rows], pa.string()) for i, n in enumerate(names)}
+    return sorted(r.position for r in access.first_claims(spark.createDataFrame(pa.table(table)), names).collect())
+
+
+def chain(first, length, turn=False):
+    """Requests of which each shares one key with the next; ``turn`` starts with the other kind of key."""
+    rows = []
+    for i in range(length):
+        left, right = f"{first}-{(i + 1) // 2}", f"{first}-{i // 2}"
+        rows.append((first + i, right, left) if turn else (first + i, left, right))
+    return rows
+
+
+def test_a_long_chain_takes_few_steps(spark, monkeypatch):
+    steps = []
+    plain = access.stage
+    monkeypatch.setattr(access, "stage", lambda df, name: steps.append(name) or plain(df, name))
+    rows = chain(1, 10_000)
+    assert claimed(spark, rows) == one_by_one(rows) == list(range(1, 10_001, 2))
+    assert len(steps) <= 20
+
+
+def test_chains_that_meet_and_part(spark):
+    """Two chains end in one row, which starts a third; a hot key crosses them; some keys are missing."""
+    one, other = chain(1, 41), chain(1001, 30, turn=True)
+    joint = [(2000, one[-1][1], other[-1][2])]
+    rest = [(2001 + i, joint[0][1] if i == 0 else f"z{i}", f"z{i + 1}") for i in range(20)]
+    links = [(2100 + i, f"z{i + 1}", f"z{i + 1}") for i in range(20)]
+    hot = [(3000 + i, "hot", one[i][2] if i % 3 else None) for i in range(40)] + [(3100, None, None)]
+    rows = one + other + joint + rest + links + hot
+    assert claimed(spark, rows) == one_by_one(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sparse_and_sorted_keys_against_one_by_one(spark, seed):
+    """Key numbers that follow the position make long chains of every shape; three kinds of key."""
+    rng = random.Random(100 + seed)
+    near = lambda p, spread: f"k{p // 2 + rng.randrange(spread)}" if rng.random() < 0.9 else None
+    rows = [(p, near(p, 1 + seed), near(p + 1, 2), near(p, 40) if seed % 2 else f"r{p}") for p in range(1, 120)]
+    assert claimed(spark, rows) == one_by_one(rows)
+
+
 def test_a_loser_claims_nothing(spark):
     df = spark.createDataFrame(pa.table({"position": [1, 2, 3], "u": ["a", "a", "b"], "m": ["x", "y", "y"]}))
     assert sorted(r.position for r in access.first_claims(df, ["u", "m"]).collect()) == [1, 3]

@@ -22,6 +22,44 @@ def role_allows(role: Column, required: Column) -> Column:
     return F.coalesce((required == "") | (role == required) | (role == C.ADMIN_ROLE), F.lit(False))
 
 
+def _chained(judged: DataFrame) -> DataFrame:
+    """Winners among rows that wait for one other row only, however long the chain of such rows.
+
+    ``judged`` has one row per claim: position, key, the key's earliest claim.
+    A row that is second on some keys, first on all others and always behind the
+    same row wins exactly if that row loses. Pointer jumping follows these links
+    to the row where the chain starts, twice as far in each step, and keeps
+    whether the number of links is odd. A chain that starts at a row which leads
+    all its keys is settled by that; one that starts at a row with several rows
+    before it waits. A row is the only predecessor of at most one row per key.
+    """
+    behind = judged.filter(F.col("position") > F.col("earliest"))
+    second = behind.groupBy("key").agg(F.min("position").alias("second"))
+    waits = F.col("position") > F.col("earliest")
+    placed = judged.join(second, "key", "left").groupBy("position").agg(
+        F.min(F.when(waits, F.col("earliest"))).alias("low"),
+        F.max(F.when(waits, F.col("earliest"))).alias("high"),
+        F.max(F.coalesce(F.col("position") > F.col("second"), F.lit(False))).alias("is_later"),
+    )
+    placed = stage(placed, "placed")
+    single = placed.filter(~F.col("is_later") & (F.col("low") == F.col("high")))
+    links = single.select("position", F.col("low").alias("start"), F.lit(True).alias("odd"), F.lit(True).alias("moved"))
+    while not links.filter("moved").isEmpty():
+        for _ in range(2):
+            further = links.select(
+                F.col("position").alias("start"), F.col("start").alias("far"), F.col("odd").alias("far_odd")
+            )
+            links = links.join(further, "start", "left").select(
+                "position",
+                F.coalesce("far", "start").alias("start"),
+                (F.col("odd") != F.coalesce("far_odd", F.lit(False))).alias("odd"),
+                F.col("far").isNotNull().alias("moved"),
+            )
+        links = stage(links, "links")
+    leads = placed.filter(F.col("low").isNull()).select(F.col("position").alias("start"))
+    return links.filter(~F.col("odd")).join(leads, "start", "left_semi").select("position")
+
+
 def first_claims(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Positions that win when rows claim all their keys one after the other.
 
@@ -29,8 +67,10 @@ def first_claims(rows: DataFrame, keys: list[str]) -> DataFrame:
     nothing, so "the earliest row per key" would be wrong: with (a, x), (a, y),
     (b, y) the third wins because the second lost. Per round, rows that are the
     earliest open ones for all their keys win and rows that share a key with them
-    lose; rounds repeat on the undecided rest, which shrinks to nothing quickly
-    (one round if no keys collide).
+    lose; rounds repeat on the undecided rest (one round if no keys collide).
+    From the second round on, chains of rows that each wait for one other row are
+    settled whole (``_chained``), so the number of rounds follows how often chains
+    meet, not how long they are. A row without any key claims nothing and is left out.
     """
     claims = rows.select(
         "position",
@@ -41,7 +81,8 @@ def first_claims(rows: DataFrame, keys: list[str]) -> DataFrame:
     while not open_claims.isEmpty():
         earliest = open_claims.groupBy("key").agg(F.min("position").alias("earliest"))
         judged = open_claims.join(earliest, "key").withColumn("leads", F.col("position") == F.col("earliest"))
-        won = stage(judged.groupBy("position").agg(F.min("leads").alias("wins")).filter("wins").select("position"), "won")
+        won = judged.groupBy("position").agg(F.min("leads").alias("wins")).filter("wins").select("position")
+        won = stage(won.unionByName(_chained(judged)) if winners else won, "won")
         winners.append(won)
         taken = open_claims.join(won, "position", "left_semi").select("key").distinct()
         lost = open_claims.join(taken, "key", "left_semi").select("position").distinct()
