@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialloom import schemas as S
-from trialloom.operators import insights, lookups, reports, sponsor_condition, views
+from trialloom.operators import insight_counts, insights, lookups, reports, sponsor_condition, views
 from trialloom.plans import jobs
 from trialloom.plans.insight_dataset import Section, insight_document, insight_rows, insight_tables
 from trialloom.sinks import outputs, snapshots
 from trialloom.sources.registry import new_registry, read_registry, small_table, write_registry
+from trialloom.staging import stage
 
 AS_OF = dt.date(2024, 2, 29)
 D = dt.date
@@ -160,6 +161,39 @@ def test_insight_rows_by_hand(registry):
     assert rows(insights.date_issues(trial, AS_OF)) == [(1, 1, 1)]
 
 
+def test_counts_of_one_pass_equal_each_section_alone(registry, tmp_path):
+    """Every counted section, also of an empty table; none of them reads the trials again."""
+    spark = registry["trial"].sparkSession
+    names = ("recruitment_status", "study_type", "phase")
+    recruitment, study_type, phase = (registry.vocabulary(n) for n in names)
+    nulls = registry["trial"].limit(1).select(
+        *[F.lit(c.name == "id" and 99 or None).cast(c.dataType).alias(c.name) if c.name != "status" else F.lit("published").alias("status")
+          for c in registry["trial"].schema]
+    )
+    registry["trial"].unionByName(nulls).write.parquet(f"{tmp_path}/trial")
+    stored = spark.read.parquet(f"{tmp_path}/trial")
+    for trial in (stored, stored.limit(0)):
+        counts = stage(insight_counts.count_groups(trial, recruitment, study_type, AS_OF), "counts")
+        sections = [
+            (insight_counts.executive_dashboard(counts), insights.executive_dashboard(trial, AS_OF)),
+            (insight_counts.outdated_total(counts), insights.outdated_total(trial, recruitment, AS_OF)),
+            (insight_counts.recruitment_distribution(counts, recruitment), insights.recruitment_distribution(trial, recruitment)),
+            (insight_counts.risk_bands(counts), insights.risk_bands(trial, recruitment, AS_OF)),
+            (insight_counts.flagged_sponsors(counts), insights.flagged_sponsors(trial, recruitment, AS_OF)),
+            (insight_counts.top_sponsors(counts), insights.top_sponsors(trial, recruitment, study_type, AS_OF)),
+            (insight_counts.profile(counts, "study_type_id", study_type, "study_type"), insights.profile(trial, "study_type_id", study_type, "study_type")),
+            (insight_counts.profile(counts, "phase_id", phase, "phase"), insights.profile(trial, "phase_id", phase, "phase")),
+            (insight_counts.trials_by_year(counts), insights.trials_by_year(trial)),
+            (insight_counts.trials_by_month(counts, AS_OF), insights.trials_by_month(trial, AS_OF)),
+            (insight_counts.missing_fields(counts), insights.missing_fields(trial)),
+            (insight_counts.date_issues(counts), insights.date_issues(trial, AS_OF)),
+        ]
+        for one_pass, alone in sections:
+            assert one_pass.columns == alone.columns and one_pass.dtypes == alone.dtypes
+            assert rows(one_pass) == rows(alone)
+            assert not any("/trial/" in f for f in one_pass.inputFiles())
+
+
 def test_sponsor_condition_by_hand(registry):
     terms = sponsor_condition.trial_terms(registry["trial"], registry.vocabulary("recruitment_status"), AS_OF)
     pairs = sponsor_condition.pair_counts(terms)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import insights, sponsor_condition
+from ..operators import insight_counts, insights, sponsor_condition
 from ..sinks.outputs import json_text
 from ..sources.registry import Registry
 from ..staging import stage
@@ -29,9 +29,14 @@ class Section:
 
 
 def insight_tables(registry: Registry, as_of: dt.date) -> dict[str, Section]:
-    """Every section by its dotted path in the dataset."""
+    """Every section by its dotted path in the dataset.
+
+    All counts come from one staged pass over the trials; only the examples and
+    the free-text conditions read them again.
+    """
     trial = registry["trial"]
     recruitment, study_type = registry.vocabulary("recruitment_status"), registry.vocabulary("study_type")
+    counts = stage(insight_counts.count_groups(trial, recruitment, study_type, as_of), "counts")
     terms = stage(sponsor_condition.trial_terms(trial, recruitment, as_of), "terms")
     pairs = stage(sponsor_condition.pair_counts(terms), "pairs")
     focus = stage(sponsor_condition.focus_conditions(pairs), "focus")
@@ -39,35 +44,32 @@ def insight_tables(registry: Registry, as_of: dt.date) -> dict[str, Section]:
     fresh, cross = "recruitment_freshness.", "sponsor_health_condition_intelligence."
     quality, profile, trends = "data_quality_governance.", "study_profile.", "temporal_trends."
     return {
-        "executive_dashboard": Section(insights.executive_dashboard(trial, as_of)),
-        fresh + "possibly_outdated_total": Section(insights.outdated_total(trial, recruitment, as_of)),
+        "executive_dashboard": Section(insight_counts.executive_dashboard(counts)),
+        fresh + "possibly_outdated_total": Section(insight_counts.outdated_total(counts)),
         fresh + "recruitment_status_distribution": Section(
-            insights.recruitment_distribution(trial, recruitment), ("-total", "recruitment_status_label")
+            insight_counts.recruitment_distribution(counts, recruitment), ("-total", "recruitment_status_label")
         ),
-        fresh + "risk_bands": Section(insights.risk_bands(trial, recruitment, as_of), ("risk_band",)),
+        fresh + "risk_bands": Section(insight_counts.risk_bands(counts), ("risk_band",)),
         fresh + "top_flagged_sponsors": Section(
-            insights.flagged_sponsors(trial, recruitment, as_of), ("-possibly_outdated_trials", "sponsor")
+            insight_counts.flagged_sponsors(counts), ("-possibly_outdated_trials", "sponsor")
         ),
         fresh + "oldest_examples": Section(
             insights.oldest_examples(trial, recruitment, as_of), ("-months_since_enrolment", "id")
         ),
-        "top_sponsors": Section(
-            insights.top_sponsors(trial, recruitment, study_type, as_of),
-            ("-total_trials", "sponsor"),
-        ),
+        "top_sponsors": Section(insight_counts.top_sponsors(counts), ("-total_trials", "sponsor")),
         "top_health_conditions": Section(
             insights.top_health_conditions(trial, recruitment, as_of), ("-total_trials", "condition_key")
         ),
         profile + "study_type_distribution": Section(
-            insights.profile(trial, "study_type_id", study_type, "study_type"), ("-total_trials", "study_type")
+            insight_counts.profile(counts, "study_type_id", study_type, "study_type"), ("-total_trials", "study_type")
         ),
         profile + "phase_distribution": Section(
-            insights.profile(trial, "phase_id", registry.vocabulary("phase"), "phase"), ("-total_trials", "phase")
+            insight_counts.profile(counts, "phase_id", registry.vocabulary("phase"), "phase"), ("-total_trials", "phase")
         ),
-        trends + "trials_by_year": Section(insights.trials_by_year(trial), ("year",)),
-        trends + "trials_last_24_months": Section(insights.trials_by_month(trial, as_of), ("month",)),
-        quality + "missing_fields": Section(insights.missing_fields(trial), ("-missing_count", "field_name")),
-        quality + "date_issues": Section(insights.date_issues(trial, as_of)),
+        trends + "trials_by_year": Section(insight_counts.trials_by_year(counts), ("year",)),
+        trends + "trials_last_24_months": Section(insight_counts.trials_by_month(counts, as_of), ("month",)),
+        quality + "missing_fields": Section(insight_counts.missing_fields(counts), ("-missing_count", "field_name")),
+        quality + "date_issues": Section(insight_counts.date_issues(counts)),
         cross + "top_conditions_used": Section(focus, ("-total_trials", "condition_key")),
         cross + "top_sponsor_condition_combinations": Section(
             sponsor_condition.top_pairs(focused), ("-total_trials", "sponsor", "condition_key")
