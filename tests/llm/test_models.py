@@ -81,7 +81,50 @@ def test_attention_gradient():
 def test_passages_cover_the_whole_text():
     assert quality_model.passage_features("").shape == quality_model.passage_features(" \n").shape == (1, 20)
     for n in (1, 39, 41, 5000):
-        assert 1 <= len(quality_model.passage_features("word " * n)) <= quality_model.PASSAGES
+        found = quality_model.passage_features("word " * n)
+        assert len(found) == -(-n // quality_model.PASSAGE_WORDS)
+        assert len(quality_model.spaced(found)) == min(len(found), quality_model.FIT_PASSAGES)
+
+
+def plain_score(model, bag):
+    """A document's score, passage by passage."""
+    logits, encoded = [], []
+    for x in bag.astype(np.float64):
+        h = np.tanh(np.clip((x - model["mean"]) / model["scale"], -8, 8) @ model["e"] + model["eb"])
+        gate = 1 / (1 + np.exp(-(h @ model["u"])))
+        logits.append(float((np.tanh(h @ model["v"]) * gate) @ model["w"]))
+        encoded.append(h)
+    weights = [np.exp(a - max(logits)) for a in logits]
+    z = sum(w * h for w, h in zip(weights, encoded, strict=True)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ model["c"] + model["cb"])))
+
+
+def test_streamed_attention_is_the_whole_sum(monkeypatch):
+    """Blocks that cut bags anywhere, and a text of 100,000 words with one junk passage."""
+    draw = random.Random(2)
+    clean, junk = [prose(draw, 80) for _ in range(60)], [" ".join(["$$$ BUY!!"] * 40) for _ in range(60)]
+    bags = [quality_model.passage_features(t) for t in clean + junk]
+    model = quality_model.fit(bags, np.repeat([1, 0], 60), np.ones(120))
+    long = [prose(draw, 40) for _ in range(2_500)]
+    mixed = [*long[:1_200], junk[0], *long[1_200:]]
+    texts = [" ".join(long), "", " ".join(mixed), *clean[:5], *junk[:5]]
+    bags = [quality_model.passage_features(t) for t in texts]
+    assert len(bags[0]) == 2_500
+    expected = [plain_score(model, b) for b in bags]
+    for block in (1, 7, 1_000, 1 << 20):
+        monkeypatch.setattr(quality_model, "BLOCK", block)
+        assert quality_model.predict(model, bags) == pytest.approx(expected, abs=1e-5)
+    assert min(expected[3:8]) > 0.7 > max(expected[8:]) and expected[0] > 0.7
+
+
+def test_repeated_ids_teach_once(documents, shipped):
+    """An id that many rows repeat, with other texts too, is one row of the sample."""
+    docs, labels = labelled(documents, shipped, 60)
+    repeated = docs.filter("doc_id = 3").join(shipped.range(500).select(), how="cross").unionByName(docs)
+    other = docs.filter("doc_id = 4").select(F.lit(3).cast("long").alias("doc_id"), *[c for c in docs.columns if c != "doc_id"])
+    one, two = quality_model.train(docs, labels), quality_model.train(repeated, labels)
+    assert all(np.array_equal(one[k], two[k]) for k in one)
+    assert quality_model.train(repeated.unionByName(other), labels) is not None
 
 
 def test_toxicity(documents, shipped):

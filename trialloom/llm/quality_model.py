@@ -1,22 +1,23 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of at most 64 passages that together are its whole text. Each
-passage is described by its character classes, word shapes and repetitions and
+A document is a bag of passages of 40 words that together are its whole text,
+however long it is. Each passage is described by its character classes, word shapes and repetitions and
 encoded by a small layer. Gated attention weights the encoded passages, and their
 weighted mean is scored. The label belongs to the document; the attention learns
-from it which passages decide.
+from it which passages decide. Scoring streams the softmax over blocks of passages
+(running maximum, running weighted sum), so a long text needs no larger passages.
 
 The model is fitted in the driver on a bounded sample of labelled rows (at most
-``SAMPLE`` of each label, in the order of a hash of the id) and is a few hundred
-numbers. Its loss is weighted to the shares of the labels among all rows it may
+``SAMPLE`` of each label, in the order of a hash of the id; of a sampled text at most
+``FIT_PASSAGES`` passages, evenly spaced) and is a few hundred numbers. Its loss is weighted to the shares of the labels among all rows it may
 learn from, so that scores are probabilities. Scoring is one pass over the texts
 without a shuffle.
 
 Defined cases: null and empty texts are one empty passage and get a score as
 well; a text of any length is read whole; an id with labels that contradict each
 other by halves, a null label or a null id teaches nothing; with labels of one
-kind only, or none, every score is 0.5; repeated rows get equal scores; extra
-columns are ignored; an empty table gives an empty result.
+kind only, or none, every score is 0.5; repeated rows get equal scores, and an id
+with several texts teaches by one of them (the first by its features); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from trialloom.llm.common import hash_spans, mix, tidy
 
 SAMPLE = 1_200
-PASSAGES, PASSAGE_WORDS = 64, 40
+PASSAGE_WORDS, FIT_PASSAGES = 40, 64
+BLOCK = 16_384
 ENCODED, ATTENTION = 16, 8
 STEPS, RATE, SHRINK = 200, 0.04, 1e-4
 THRESHOLD = 0.7
@@ -58,8 +60,7 @@ def passage_features(text: str) -> np.ndarray:
     n = len(start)
     if not n:
         return np.zeros((1, _CLASSES + 12), np.float32)
-    per = max(PASSAGE_WORDS, -(-n // PASSAGES))
-    of = np.arange(n) // per
+    of = np.arange(n) // PASSAGE_WORDS
     count = int(of[-1]) + 1
     size = np.bincount(of, minlength=count).astype(np.float64)
     mean = lambda x: np.bincount(of, weights=x, minlength=count) / size
@@ -92,6 +93,12 @@ def _first(values: np.ndarray) -> np.ndarray:
     return found
 
 
+def spaced(bag: np.ndarray) -> np.ndarray:
+    """At most ``FIT_PASSAGES`` passages of a sampled text, evenly spaced."""
+    n = len(bag)
+    return bag if n <= FIT_PASSAGES else bag[np.arange(FIT_PASSAGES) * n // FIT_PASSAGES]
+
+
 def forward(model: dict, x: np.ndarray, starts: np.ndarray) -> tuple:
     """Scores of bags whose passages are rows of ``x`` from ``starts`` on, and what the gradient needs."""
     of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
@@ -136,11 +143,23 @@ def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict:
     return model
 
 
+def _score(model: dict, bag: np.ndarray) -> float:
+    top, total, z = -np.inf, 0.0, np.zeros(ENCODED)
+    for at in range(0, len(bag), BLOCK):
+        h = np.tanh(np.clip((bag[at : at + BLOCK] - model["mean"]) / model["scale"], -8, 8) @ model["e"] + model["eb"])
+        a = (np.tanh(h @ model["v"]) / (1 + np.exp(-(h @ model["u"])))) @ model["w"]
+        high = max(top, a.max())
+        carried, share = np.exp(top - high), np.exp(a - high)
+        top, total, z = high, total * carried + share.sum(), z * carried + share @ h
+    return 1 / (1 + np.exp(-np.clip(z / total @ model["c"] + model["cb"], -30, 30)))
+
+
 def predict(model: dict | None, bags: list[np.ndarray]) -> np.ndarray:
-    if model is None or not bags:
-        return np.full(len(bags), 0.5)
-    x = np.clip((np.concatenate(bags) - model["mean"]) / model["scale"], -8, 8)
-    return forward(model, x, np.cumsum([0, *map(len, bags[:-1])]))[0]
+    """Scores of bags of any size: the attention's softmax is carried from block to block.
+
+    Each bag is computed by itself, so equal bags get equal scores to the last bit.
+    """
+    return np.array([0.5 if model is None else _score(model, bag) for bag in bags], np.float64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,10 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     def describe(batches):
         for batch in batches:
-            found = [passage_features(t.as_py() or "").tobytes() for t in batch.column("text")]
+            found = [spaced(passage_features(t.as_py() or "")).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(found, pa.binary())], names=["doc_id", "_y", "bag"])
 
     bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", "text").mapInArrow(tidy(describe), "doc_id long, _y int, bag binary")
+    # One row for each id, so that an id which many rows repeat does not fill the driver.
+    bags = bags.groupBy("doc_id", "_y").agg(F.min("bag").alias("bag"))
     found = sorted((r.doc_id, r._y, bytes(r.bag)) for r in bags.collect())
     y = np.array([r[1] for r in found], np.float64)
     if len(set(y)) < 2:
