@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -49,6 +50,24 @@ def test_cut_texts_have_the_ids_of_whole_texts():
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_arrays_have_the_ids_of_their_texts_and_each_piece_is_looked_up_once(monkeypatch):
+    path = public_tokenizers.path(token_store.TOKENIZER)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    token_store._pieces.cache_clear()
+    asked, missing = [], token_store._Pieces.__missing__
+    monkeypatch.setattr(token_store._Pieces, "__missing__", lambda self, piece: asked.append((id(self), piece)) or missing(self, piece))
+    draw = random.Random(6)
+    words = ["a", "Zaun***", "Zaun", "é$$$", "don't", "x'!", "1.", "two\nlines", "", "\x1c", "漢字"]
+    texts = [None, "", " ", "again Zaun", "again Zaun.", *(" ".join(draw.choices(words, k=draw.randrange(9))) for _ in range(800))]
+    ids, ends = token_store.array_encoder(path)(pa.array(texts))
+    for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+        assert ids[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert len(ids) == ends[-1]
+    cut = [a for a in asked if "\n" not in a[1]]
+    assert len(cut) == len(set(cut))
+
+
 def test_store_reads_back_in_order_and_by_document(documents, shipped):
     whole = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
     whole.encode_special_tokens = True

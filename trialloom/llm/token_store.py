@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import struct
 import uuid
 from functools import lru_cache
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,10 @@ DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 4 << 20
 #: Pieces whose ids a Python worker remembers; forgotten all at once beyond that.
 REMEMBERED = 1_000_000
+#: Bytes of text that are split into pieces at once.
+SPLIT_BYTES = 4 << 20
+#: A run of these behind letters is a pre-token of its own; an apostrophe may open a contraction.
+_SYMBOLS = "".join(c for c in string.punctuation if c != "'")
 _LOOSE_SPACE = re.compile(r" (?=\s|$)")
 _BLOCK = "part int, block int, dictionary_hash string, docs array<long>, sizes array<int>, offsets array<long>, frames binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
@@ -69,18 +75,19 @@ class _Pieces(dict):
 
     Within a piece there are more places that pre-tokens never cross: around a
     single line feed between other characters than white space, and between
-    letters and a final comma or full stop.
+    letters and final symbols.
     """
 
     def __init__(self, tokenizer: Tokenizer, before: str):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.before, self.line_start = before, self if not before else _Pieces(tokenizer, "")
-        self.ends = {c: self._encoded(c) for c in ".,"}
         self.line_feed = self._encoded("\n")
 
     def _encoded(self, text: str) -> bytes:
         if text.removeprefix(" ").isalpha():  # one pre-token: straight to the model
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            # ASCII letters are written as themselves.
+            letters = text.replace(" ", _BYTE_LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self.model.tokenize(letters)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -89,8 +96,9 @@ class _Pieces(dict):
         head, feed, tail = piece.partition("\n")
         if feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
             return self[head] + self.line_feed + self.line_start[tail]
-        if piece[-1:] in self.ends and piece[:-1].isalpha():
-            ids = self[piece[:-1]] + self.ends[piece[-1]]
+        word = piece.rstrip(_SYMBOLS)
+        if word != piece and word.isalpha():
+            ids = self[word] + self.line_start[piece[len(word) :]]
         else:
             ids = self._encoded(self.before + piece)
         self[piece] = ids
@@ -98,29 +106,92 @@ class _Pieces(dict):
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str):
-    """A function, kept for a Python worker's later tasks, from a text to its ids (little-endian unsigned 32-bit integers).
+def _pieces(path: str) -> _Pieces:
+    """The pieces behind a space, kept for a Python worker's later tasks."""
+    return _Pieces(_tokenizer(path), " ")
+
+
+def array_encoder(path: str):
+    """A function from a non-empty array of texts to their ids, one after the other, and the end of each text in them.
 
     A space in front of any other character than white space opens a pre-token,
     so a text without other spaces may be cut at its spaces, and equal pieces have
-    equal ids. Texts with other spaces are encoded whole.
+    equal ids: each is looked up once for all texts of the array. Texts with other
+    spaces are encoded whole. A null text has no ids.
     """
-    tokenizer = _tokenizer(path)
-    later = _Pieces(tokenizer, " ")
+    tokenizer, later = _tokenizer(path), _pieces(path)
     first = later.line_start
 
-    def encode(text: str) -> bytes:
-        if _LOOSE_SPACE.search(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for known in (first, later):
             if len(known) > REMEMBERED:
                 known.clear()
-        head, *rest = text.split(" ")
-        return first[head] + b"".join(map(later.__getitem__, rest))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        starts = split.offsets.to_numpy().astype(np.int64)
+        starts, counts = starts[:-1] - starts[0], np.diff(starts)
+        # A space in front of white space or the end: a later piece that is empty or begins with white space.
+        openings = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
+        white = np.array([not c or c.isspace() for c in openings.dictionary.to_pylist()], bool)
+        loose = white[openings.indices.to_numpy()][index]
+        loose[starts] = False
+        loose = np.add.reduceat(loose, starts, dtype=np.int64) > 0
+        heads = [
+            whole_text(texts[i].as_py()) if alone else first[pieces[at]]
+            for i, (alone, at) in enumerate(zip(loose.tolist(), index[starts].tolist(), strict=True))
+        ]
+        index[starts] = len(pieces) + np.arange(len(starts))
+        if loose.any():
+            kept = ~np.repeat(loose, counts)
+            kept[starts] = True
+            index, counts = index[kept], np.where(loose, 1, counts)
+            used = np.zeros(len(pieces) + len(heads), bool)
+            used[index] = True
+            found = [later[p] if u else b"" for p, u in zip(pieces, used.tolist(), strict=False)]
+        else:
+            found = list(map(later.__getitem__, pieces))
+        found += heads
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offset, size = np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        return flat[np.repeat(offset[index] - (ends - size), size) + np.arange(ends[-1])], ends[np.cumsum(counts) - 1]
+
+    def whole_text(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode
 
 
+def encoder(path: str):
+    """A function from a text to its ids (little-endian unsigned 32-bit integers)."""
+    encode = array_encoder(path)
+    return lambda text: encode(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _serialised(path: str):
+    """A function from an array of texts to their id arrays as stored: the end id appended, two bytes for each id."""
+    encode, end = array_encoder(path), struct.pack("<H", END_ID)
+
+    def run(texts: pa.Array):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        share = np.cumsum(sizes, dtype=np.int64) // SPLIT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            ids, ends = encode(texts.slice(low, high - low))
+            if len(ids) and ids.max() > 0xFFFF:
+                raise ValueError("the store holds ids below 65,536")
+            data, ends = ids.astype("<u2").tobytes(), (2 * ends).tolist()
+            for a, b in zip([0, *ends], ends, strict=False):
+                yield data[a:b] + end
+
+    return run
+
+
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from the serialised id arrays of a bounded sample of documents."""
     key = F.xxhash64("doc_id", "text")
@@ -129,9 +200,9 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     sample = docs.select(key.alias("_key"), "text").join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keys], "_key long")), "_key", "left_semi")
 
     def run(batches):
-        encode = encoder(path)
+        serialised = _serialised(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([_serialised(encode(t.as_py())) for t in batch.column("text")], pa.binary())], names=["_key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(list(serialised(batch.column("text"))), pa.binary())], names=["_key", "ids"])
 
     # Copies share a key: one of each.
     found = sample.mapInArrow(run, "_key long, ids binary").groupBy("_key").agg(F.first("ids").alias("ids")).orderBy("_key").collect()
@@ -142,14 +213,6 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8
 
 
-def _serialised(ids: bytes) -> bytes:
-    """The id array as stored: the end id appended, two bytes for each id."""
-    wide = np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID))
-    if wide.max() > 0xFFFF:
-        raise ValueError("the store holds ids below 65,536")
-    return wide.astype("<u2").tobytes()
-
-
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
@@ -164,7 +227,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str | None = None)
     spark.createDataFrame([(name, bytearray(dictionary))], "dictionary_hash string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def run(batches):
-        encode = encoder(path)
+        serialised = _serialised(path)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
         part, number = TaskContext.get().partitionId(), 0
         ids, sizes, frames, total = [], [], [], 0
@@ -175,8 +238,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str | None = None)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = _serialised(encode(text.as_py() or ""))
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), serialised(batch.column("text")), strict=True):
                 ids.append(doc_id)
                 sizes.append(len(data) // 2)
                 frames.append(compressor.compress(data))
