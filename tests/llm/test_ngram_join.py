@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trialloom.llm import ngram_join
@@ -156,3 +157,38 @@ def test_bounds_never_prune_a_link():
 def test_plan_has_no_cross_join(documents):
     plan = ngram_join.join(documents([(1, "a b c d e f g")]))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_branches_hold_only_classes_that_may_link():
+    # (token, node, size, early): which members a token's branches keep.
+    tokens = {
+        1: [(10, 100, 1), (11, 200, 1)],  # sizes too far apart
+        2: [(10, 100, 0), (11, 110, 0)],  # the smaller one has the token late
+        3: [(10, 100, 1), (11, 110, 0), (12, 300, 1), (13, 310, 1), (14, 900, 1)],
+        4: [(10, 100, 1), (11, 110, 0)],  # the members of a branch of token 3
+        5: [(20, 100, 0), (21, 100, 1), (22, 90, 0)],  # of equal sizes either may be the smaller one
+    }
+    rows = [(token, node, 2 * n + early) for token, members in tokens.items() for node, n, early in members]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["token", "node", "marked"])
+    found: dict[int, set] = {}
+    for out in ngram_join._branches([batch.slice(0, 3), batch.slice(3)]):
+        for branch, node, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            found.setdefault(branch, set()).add((node, n))
+    assert sorted(map(sorted, found.values())) == [[(10, 100), (11, 110)], [(12, 300), (13, 310)], [(20, 100), (21, 100)]]
+
+
+def test_the_first_shared_token_is_early_in_the_smaller_set():
+    draw = np.random.default_rng(5)
+    for _ in range(3000):
+        order = draw.permutation(400)
+        a = set(draw.choice(400, draw.integers(1, 80), replace=False).tolist())
+        b = {x for x in a if draw.random() > 0.1} | set(draw.choice(400, draw.integers(0, 6)).tolist())
+        if not b or 100 * len(a & b) < ngram_join.THRESHOLD * len(a | b):
+            continue
+        small, large = sorted((a, b), key=len)
+        place = lambda s: sorted(order[x] for x in s)
+        first = min(order[x] for x in a & b)
+        early = len(small) * (100 - ngram_join.THRESHOLD) // (100 + ngram_join.THRESHOLD)
+        assert early == len(small) - ngram_join.least_overlap(len(small), len(small))
+        assert place(small).index(first) <= early
+        assert place(large).index(first) < ngram_join._prefix_length(len(large))

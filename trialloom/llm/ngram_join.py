@@ -9,7 +9,10 @@ share a token, so a branch is a token and holds the classes with it in their
 prefix: between different branches the possible overlap is too small. Tokens that
 are frequent in some part of the corpus come last in the order, so frequent lines
 and passages make no branches. Any one order is exact; the frequent tokens only
-make it a good one. Branches with the same members are one branch.
+make it a good one. The first token that two linked sets share is early, in the
+first 1/9, in the smaller one; so a class stays in a branch only with another one of
+near size of which the smaller has the token early. A branch is cut where the next
+size is too large for the one before. Branches with the same members are one branch.
 
 Below, a branch holds its classes by size in leaves of up to 256, and a leaf in
 nodes of 16. A node has the OR of its members' token bitmaps and their size range.
@@ -49,6 +52,8 @@ THRESHOLD = 80
 #: Frequent tokens: at least this share of the documents of a block (and 8); the most frequent of them are ordered last.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_KEPT, FREQUENT_BLOCK = 0.002, 8, 50_000, 4096
 LEAF, NODE = 256, 16
+#: Bits of a prefix token. Tokens that fall together share a branch, which costs time and changes no result.
+TOKEN_BITS = 40
 #: Up to so many ids (16 MB) are broadcast to pick rows; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -108,6 +113,7 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """
     by_value = np.argsort(frequent)
     ordered = frequent[by_value]
+    short = np.uint64((1 << TOKEN_BITS) - 1)
 
     def prefix(values: np.ndarray) -> np.ndarray:
         length = _prefix_length(len(values))
@@ -139,7 +145,7 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 names.append(name)
                 nodes.append(node if first else None)
                 bitmaps.append(_bitmap(values).tobytes() if first else None)
-                prefixes.append(prefix(values).view(np.int64) if first else None)
+                prefixes.append((prefix(values) & short).view(np.int64) if first else None)
             columns = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(nodes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "digest", "node", "bitmap", "prefix"])
 
@@ -147,12 +153,29 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _branches(batches):
-    """Rows in token order to branches of at least two classes, named by their members."""
+    """Rows in token order to branches of at least two classes of near sizes, named by their members.
+
+    The third column is twice the size, plus 1 where the token is early in the set.
+    """
     seen: set[int] = set()
     held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def grouped(token, node, n):
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    def grouped(token, node, marked):
+        n, early = marked >> 1, marked & 1 == 1
+        # Members of a token in order of size. Of a pair that may link the smaller one is early; equal sizes count both ways.
+        order = np.lexsort((node, ~early, n, token))
+        token, node, n, early = token[order], node[order], n[order], early[order]
+        at = np.arange(len(token))
+        first = np.concatenate(([True], token[1:] != token[:-1]))
+        begin = np.maximum.accumulate(np.where(first, at, 0))
+        near = np.append(~first[1:] & (100 * n[:-1] >= THRESHOLD * n[1:]), False)
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(early, at, -1))[:-1]))
+        keep = (early & near) | ((last >= begin) & (100 * n[last] >= THRESHOLD * n))
+        token, node, n = token[keep], node[keep], n[keep]
+        # A branch ends where the next size is too large for the one before.
+        starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (100 * n[:-1] < THRESHOLD * n[1:]))[: len(token)])
+        if not len(starts):
+            return pa.RecordBatch.from_arrays([pa.array(np.empty(0, np.int64))] * 3, names=["branch", "node", "n"])
         sizes = np.diff(np.append(starts, len(token)))
         name = mix(np.add.reduceat(mix(node.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
         if len(seen) > 1_000_000:
@@ -452,7 +475,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = base.filter("n > 0 and doc_id is not null")
     classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node")), "join-classes")
     carriers = base.filter("prefix is not null")
-    tokens = carriers.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
+    tokens = carriers.select(F.posexplode("prefix").alias("_at", "token"), "node", "n")
+    # n - least_overlap(n, n) + 1
+    early = F.col("_at") <= F.expr(f"n * {100 - THRESHOLD} div {100 + THRESHOLD}")
+    tokens = tokens.select("token", "node", (2 * F.col("n") + early.cast("long")).alias("marked")).repartition("token").sortWithinPartitions("token", "node")
     held = tokens.mapInArrow(tidy(_branches), "branch long, node long, n long").distinct()
     known = carriers.select(F.col("node").alias("_carrier"), "digest").join(classes.select("digest", "node"), "digest").drop("digest")
     branches = held.withColumnRenamed("node", "_carrier").join(known, "_carrier").select("branch", "node", "n").distinct()
