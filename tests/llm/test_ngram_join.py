@@ -192,3 +192,18 @@ def test_the_first_shared_token_is_early_in_the_smaller_set():
         assert early == len(small) - ngram_join.least_overlap(len(small), len(small))
         assert place(small).index(first) <= early
         assert place(large).index(first) < ngram_join._prefix_length(len(large))
+
+
+def test_whole_texts_are_not_shuffled_to_the_kept_ids(documents):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words that stand alone here")]
+    spark = documents([]).sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        kept = ngram_join.representatives(documents(rows))
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        found = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [1, 3]
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line and "_join_digest" not in line]
+    assert any("BroadcastHashJoin" in line for line in semi)

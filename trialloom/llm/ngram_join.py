@@ -545,7 +545,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     kept = stage(first.unionByName(rows.filter("n = 0").select("doc_id", "digest").distinct()), "join-kept")
     repeated = stage(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"), "join-repeated")
 
-    named = docs.filter("doc_id is not null").join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = kept.select("doc_id").distinct()
+    # Ids are sent to the texts while they are few; else whole texts are shuffled to them.
+    ids = F.broadcast(ids) if kept.count() <= BROADCAST_IDS else ids
+    named = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi")
     single = named.join(repeated, "doc_id", "left_anti").select(*docs.columns)
 
     def tell(batches):
