@@ -112,13 +112,12 @@ class GivenTables:
         return named.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(names.alias("names"))
 
     def orders(self, *needs: str) -> DataFrame:
+        """The orders with what these tables add to them.
+
+        Customers and parts are joined to narrow rows; the names, the widest column,
+        come last, so they are shuffled once, to their order.
+        """
         df = self.table("orders")
-        if "items" in needs or "part" in needs:
-            df = df.join(self.items(), "o_orderkey", "left")
-        if "names" in needs:
-            df = df.join(self.item_names(), "o_orderkey", "left")
-        if "part" in needs:
-            df = df.join(self.table("part"), "p_partkey", "left")
         if "customer" in needs or "region" in needs:
             customer = self.table("customer").withColumnRenamed("c_custkey", "o_custkey")
             if "region" in needs:
@@ -126,6 +125,13 @@ class GivenTables:
                 region = self.table("region").withColumnRenamed("r_regionkey", "n_regionkey")
                 customer = customer.join(nation, "c_nationkey", "left").join(region, "n_regionkey", "left")
             df = df.join(customer, "o_custkey", "left")
+        if "items" in needs or "part" in needs:
+            items = self.items()
+            if "part" in needs:
+                items = items.join(self.table("part"), "p_partkey", "left")
+            df = df.join(items, "o_orderkey", "left")
+        if "names" in needs:
+            df = df.join(self.item_names(), "o_orderkey", "left")
         return df
 
     def trial(self, *columns: str) -> DataFrame:
