@@ -71,3 +71,11 @@ def test_names_are_not_shuffled_after_they_are_joined(spark, given):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_documents_share_the_joins(given):
+    whole, some = given.trial_elements(), given.trial_elements(("F", "O"))
+    assert not [f for df in (whole, some) for f in df.inputFiles() if "lineitem" in f]
+    titles = lambda df: [r.element.split("Order\t")[1].split("<")[0] for r in df.collect() if "Order" in r.element]
+    assert titles(whole) == ["1", "1", "2", "3", "3"]
+    assert titles(some) == ["1", "1", "3", "3"]
