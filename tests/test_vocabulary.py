@@ -64,3 +64,17 @@ def test_seeding_adds_only_absent_codes(spark):
     rows = sorted((r.id, r.code, r.label) for r in seed_missing(current, seed).collect())
     assert rows == [(40, "observational", "Changed"), (41, "intervention", "Intervention"), (42, "expanded_access", "Expanded access")]
     assert seed_missing(seed, seed).count() == 3
+
+
+def test_lookups_of_several_vocabularies_equal_one_by_one(spark):
+    phase = id_vocabulary(spark, "phase")
+    names = {"full": phase, "none": phase.limit(0), "shared": phase.unionByName(phase.withColumn("id", F.col("id") + 100))}
+    df = spark.createDataFrame([("PHASE 1",), ("phase_1",), ("n/a",), ("?",), (None,), ("phase 1",)], "v string")
+    together = vocabulary.match_all(df, {name: (F.col("v"), entries) for name, entries in names.items()})
+    assert together.columns == ["v", "full", "none", "shared"]
+    alone = df
+    for name, entries in names.items():
+        alone = vocabulary.match(alone, F.col("v"), entries, name)
+    got = sorted(together.collect(), key=repr)
+    assert got == sorted(alone.collect(), key=repr) and any(r.full for r in got)
+    assert all(r.none is None and r.shared == r.full for r in got)
